@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tasklattice.llm import quality_rules, url_filters
+from tasklattice.llm import mjpeg_avi, near_dedup, packing, quality_rules, sharding, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op2_best_fit_packing": packing.query,
+    "op4_histogram_sort": sharding.query,
+    "op5_minhash_dedup": near_dedup.query,
+    "op6_mjpeg_avi": mjpeg_avi.query,
     "op10_url_filters": url_filters.query,
 }
 

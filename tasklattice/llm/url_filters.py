@@ -9,8 +9,10 @@ share, smoothed towards its host and the host towards all urls, reaches
 ``reject_purity``.
 
 Urls are first aggregated to distinct (host, path) pairs, so a hot host or a hot
-url is counted map-side before anything is joined; every later table holds
-distinct paths, templates or hosts.  Only one row of totals comes to the driver.
+url is counted map-side.  The nodes with wildcards and the templates' shares are
+small tables, checkpointed; up to ``broadcast_rows`` rows they are broadcast, so
+that the pages themselves are never shuffled, and beyond that they are joined by
+shuffle.  Only one row of totals comes to the driver.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and is
 allowed unless a rule fits; repeated rows are judged alike; an empty table gives
@@ -25,7 +27,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tasklattice.llm.common import ascii_lower
+from tasklattice.llm.common import ascii_lower, checkpointed
 
 
 @dataclass(frozen=True)
@@ -61,6 +63,8 @@ class UrlParams:
     #: Pseudo-counts of the parent's share in a smoothed share.
     smoothing: float = 8.0
     reject_purity: float = 0.8
+    #: Tables of nodes and templates are broadcast up to so many rows.
+    broadcast_rows: int = 50_000
 
 
 PRODUCTION = UrlParams()
@@ -83,60 +87,81 @@ def matching_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column
     return fits
 
 
-def template_verdicts(urls: DataFrame, p: UrlParams) -> DataFrame:
-    """(host, path, template, purity, rejected) for distinct (host, path, n, labelled, blocked)."""
-    parts = F.split(F.regexp_replace("path", "^/", ""), "/")
-    deep = F.size(parts) > p.max_depth
-    parts = F.when(deep, F.concat(F.slice(parts, 1, p.max_depth - 1), F.array(F.lit("**")))).otherwise(parts)
-    df = urls.withColumn("segments", F.transform(parts, lambda s: F.regexp_replace(s, "[0-9]+", "#"))).withColumn("template", F.lit(""))
+def _bounded(df: DataFrame, p: UrlParams) -> DataFrame:
+    """A checkpointed table, broadcast if its row count is within the bound and joined by shuffle beyond it."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= p.broadcast_rows else df
+
+
+def _segments(path: Column, p: UrlParams) -> Column:
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
+    parts = F.when(F.size(parts) > p.max_depth, F.concat(F.slice(parts, 1, p.max_depth - 1), F.array(F.lit("**")))).otherwise(parts)
+    return F.transform(parts, lambda s: F.regexp_replace(s, "[0-9]+", "#"))
+
+
+def _step(df: DataFrame, depth: int, variable: DataFrame) -> DataFrame:
+    """Extend ``template`` by the segment at ``depth``, or by a wildcard below a variable node."""
+    seg = F.get("segments", F.lit(depth))
+    joined = df.join(variable, ["host", "template"], "left")
+    return joined.withColumn("template", F.concat("template", F.when(seg.isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("variable"), "*").otherwise(seg))))).drop("variable")
+
+
+def variable_nodes(urls: DataFrame, p: UrlParams) -> list[DataFrame]:
+    """For each depth, the (host, template) nodes whose children are many and rare."""
+    df, levels = urls.withColumns({"segments": _segments(F.col("path"), p), "template": F.lit("")}), []
     for d in range(p.max_depth):
-        seg = F.get("segments", F.lit(d))
-        df = df.withColumn("segment", seg)
-        children = df.where("segment is not null").groupBy("host", "template", "segment").agg(F.sum("n").alias("n"))
+        children = df.withColumn("segment", F.get("segments", F.lit(d))).where("segment is not null").groupBy("host", "template", "segment").agg(F.sum("n").alias("n"))
         nodes = children.groupBy("host", "template").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
-        variable = nodes.where((F.col("k") >= p.variable_children) & (F.col("n") < F.col("k") * p.rare_child_urls)).select("host", "template", F.lit(True).alias("variable"))
-        step = F.when(F.col("segment").isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("variable"), "*").otherwise(F.col("segment"))))
-        df = df.join(variable, ["host", "template"], "left").withColumn("template", F.concat("template", step)).drop("variable")
-    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
-    templates = df.groupBy("host", "template", F.size("segments").alias("depth")).agg(*sums)
+        found = nodes.where((F.col("k") >= p.variable_children) & (F.col("n") < F.col("k") * p.rare_child_urls))
+        levels.append(_bounded(found.select("host", "template", F.lit(True).alias("variable")), p))
+        df = _step(df, d, levels[-1])
+    return levels
+
+
+def with_template(df: DataFrame, levels: list[DataFrame], p: UrlParams) -> DataFrame:
+    """``df`` (host, path, ...) with template and depth."""
+    df = df.withColumns({"segments": _segments(F.col("path"), p), "template": F.lit("")})
+    for d, variable in enumerate(levels):
+        df = _step(df, d, variable)
+    return df.withColumn("depth", F.size("segments")).drop("segments")
+
+
+def template_purity(templates: DataFrame, p: UrlParams) -> DataFrame:
+    """(host, template, depth, purity) of checkpointed ``templates`` (host, template, depth, n, labelled, blocked)."""
     rate = F.coalesce(F.col("blocked") / F.nullif("labelled", F.lit(0)), F.lit(-1.0))
     order = Window.partitionBy("host", "depth").orderBy("rate", "template")
-    templates = templates.withColumn("rate", rate)
     before = {c: F.lag(c).over(order) for c in ("labelled", "blocked", "rate")}
     pooled = (F.col("blocked") + before["blocked"]) / (F.col("labelled") + before["labelled"])
     error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / before["labelled"]))
     new = F.when(before["rate"].isNull(), 1).when((F.col("rate") < 0) & (before["rate"] < 0), 0).when((F.col("rate") < 0) | (before["rate"] < 0), 1)
     new = new.when(F.col("rate") - before["rate"] <= p.merge_z * error, 0).otherwise(1)
-    templates = templates.withColumn("new", new).withColumn("branch", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    branched = templates.withColumn("rate", rate).withColumn("new", new).withColumn("branch", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     all_urls = templates.agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")).first()
     overall = ((all_urls["blocked"] or 0) + 1.0) / ((all_urls["labelled"] or 0) + 2.0)
-    hosts = templates.groupBy("host").agg(((F.sum("blocked") + p.smoothing * overall) / (F.sum("labelled") + p.smoothing)).alias("host_purity"))
-    branches = templates.groupBy("host", "depth", "branch").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")).join(hosts, "host")
-    branches = branches.select("host", "depth", "branch", ((F.col("blocked") + p.smoothing * F.col("host_purity")) / (F.col("labelled") + p.smoothing)).alias("purity"))
-    judged = templates.select("host", "template", "depth", "branch").join(branches, ["host", "depth", "branch"])
-    judged = judged.select("host", "template", "depth", F.round("purity", 9).alias("purity"))
-    paths = df.select("host", "path", "template", F.size("segments").alias("depth"))
-    return paths.join(judged, ["host", "template", "depth"]).select("host", "path", "template", "purity", (F.col("purity") >= p.reject_purity).alias("rejected"))
+    by_host, by_branch = Window.partitionBy("host"), Window.partitionBy("host", "depth", "branch")
+    host_purity = (F.sum("blocked").over(by_host) + p.smoothing * overall) / (F.sum("labelled").over(by_host) + p.smoothing)
+    purity = (F.sum("blocked").over(by_branch) + p.smoothing * F.col("host_purity")) / (F.sum("labelled").over(by_branch) + p.smoothing)
+    return branched.withColumn("host_purity", host_purity).select("host", "template", "depth", F.round(purity, 9).alias("purity"))
 
 
 def filter_urls(pages: DataFrame, url_col: str = "url", params: UrlParams = PRODUCTION) -> DataFrame:
     """``pages`` with host, path, rule, template, purity and verdict (allow or block)."""
+    p = params
     added = ["host", "path", "rule", "template", "purity", "verdict"]
     url = F.col(f"`{url_col}`")
-    kept = [c for c in pages.columns if c.lower() not in added]
-    rows = pages.select(F.struct(*kept).alias("row"), host_of(url).alias("host"), path_of(url).alias("path"))
-    fit = matching_rule(F.col("host"), F.col("path"), params.rules)
-    urls = rows.groupBy("host", "path").agg(F.count("*").alias("n"))
-    urls = urls.withColumn("fit", fit).select(
-        "host",
-        "path",
-        "n",
-        F.when(F.col("fit").isNotNull(), F.col("n")).otherwise(F.lit(0)).alias("labelled"),
-        F.when(F.col("fit.action") == "block", F.col("n")).otherwise(F.lit(0)).alias("blocked"),
-    )
-    judged = rows.join(template_verdicts(urls, params), ["host", "path"], "left").withColumn("fit", fit)
-    verdict = F.coalesce(F.col("fit.action"), F.when(F.col("rejected"), "block").otherwise("allow"))
-    return judged.select("row.*", "host", "path", F.col("fit.rule").alias("rule"), "template", "purity", verdict.alias("verdict"))
+    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in added]
+    host, path = host_of(url), path_of(url)
+    rows = pages.select(F.struct(F.lit(0), *kept).alias("row"), host.alias("host"), path.alias("path")).withColumn("fit", matching_rule(F.col("host"), F.col("path"), p.rules))
+    n, fits = F.count("*"), F.col("fit.action")
+    labelled, blocked = F.count(fits), F.count_if(fits == "block")
+    urls = checkpointed(rows.groupBy("host", "path").agg(n.alias("n"), labelled.alias("labelled"), blocked.alias("blocked")))
+    levels = variable_nodes(urls, p)
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+    templates = checkpointed(with_template(urls, levels, p).groupBy("host", "template", "depth").agg(*sums))
+    judged = with_template(rows, levels, p).join(_bounded(template_purity(templates, p), p), ["host", "template", "depth"], "left")
+    verdict = F.coalesce(F.col("fit.action"), F.when(F.col("purity") >= p.reject_purity, "block").otherwise("allow"))
+    names = [c for c in pages.columns if c.lower() not in added]
+    return judged.select(*[F.col("row").getField(c).alias(c) for c in names], "host", "path", F.col("fit.rule").alias("rule"), "template", "purity", verdict.alias("verdict"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
