@@ -7,9 +7,9 @@
    step cannot lower any slot, which for long texts is after one or two steps.
 2. Texts with the same shingle set fall together (map-side minimum of doc_id),
    so copies never meet pairwise.
-3. ``band`` keys of four slots each gather candidate texts.  In each bucket all
-   members are paired with its smallest member (linear in the bucket).  Pairs
-   are verified on the full shingle sets and joined by union-find.
+3. ``band`` keys of four slots each gather candidate texts.  Each member is
+   paired with the smallest leader of its buckets (linear in the members); the
+   pairs are verified on the full shingle sets and joined by union-find.
 4. Buckets whose members are still in different groups are searched in full:
    small ones by a join across groups, large ones in blocks spread over tasks,
    where pairs of differing size or signature are passed over.  Hits are
@@ -18,7 +18,7 @@
 Two texts of similarity s share none of the 32 bands with probability
 (1 - s^4)^32: 5e-6 at 0.75 and below 1e-9 at 0.83.
 
-Shuffles carry signatures, band keys and ids; texts move only for members of
+Shuffles carry band keys and ids; shingle sets move only for members of
 candidate pairs.  Each stage's result is checkpointed in the shared folder.
 
 Defined cases: null or empty text, or text without words: no shingles, alone in
@@ -39,7 +39,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tasklattice.llm.common import checkpointed
@@ -60,6 +60,8 @@ class DedupParams:
     block: int = 2000
     #: In blocks, pairs with fewer equal slots of 128 are not near 0.75: that many lie over 8 standard errors below.
     min_equal_slots: int = 56
+    #: Bits, as a power of 2, of the bitmap by which the second scan passes over documents in no candidate pair.
+    filter_bits: int = 25
 
     @property
     def slots(self) -> int:
@@ -193,51 +195,75 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, p: DedupParams) -> DataFrame:
-    """n_shingles, set_key, bands and slots of every row of (doc_id, text)."""
+    """n_shingles, set_key and bands of every row of (doc_id, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sizes, keys, bands, slots = [], [], [], []
+                sizes, keys, bands = [], [], []
                 for s in shingle_sets(part.column("text").to_pylist(), p.shingle_words):
                     sizes.append(len(s))
                     if not len(s):
                         keys.append(None)
                         bands.append(None)
-                        slots.append(None)
                         continue
                     low = np.bitwise_xor.reduce(mix64(s)), np.add.reduce(mix64(s ^ GOLDEN))
                     keys.append(np.array([*low, len(s)], U64).tobytes())
-                    sig = super_min_hash(s, p.slots)
-                    bands.append(band_hashes(sig, p.bands, p.rows))
-                    slots.append((mix64(sig.view(U64)) >> U64(48)).astype(np.uint16).tobytes())
+                    bands.append(band_hashes(super_min_hash(s, p.slots), p.bands, p.rows))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(slots, pa.binary())],
-                    names=["doc_id", "n_shingles", "set_key", "bands", "slots"],
+                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "set_key", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, bands array<long>, slots binary")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, p: DedupParams) -> DataFrame:
-    """The pairs (a, b) of representatives that are near enough on their full sets.
+def _among(ids: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of 2 ** bits bits, at most, with those of the hashed ``ids`` (rep) set; its size doesn't depend on them."""
+    at = _bit_of(F.col("rep"), bits)
+    parts = ids.groupBy(F.shiftright(at, 15).alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND(32767)).alias("bitmap"))
+    out = np.zeros((1 << (bits - 15), 4096), np.uint8)
+    for part, bitmap in parts.collect():
+        out[part] = np.frombuffer(bitmap, np.uint8)
+    return out.ravel()
 
-    Sets are computed once for each representative in a pair; ``pairs`` has the
-    columns a and b, ``docs`` (rep, text).
+
+def _bit_of(rep: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(rep), 64 - bits)
+
+
+def member_sets(members: DataFrame, docs: DataFrame, p: DedupParams) -> DataFrame:
+    """rep, n_shingles, shingles and slots of the ``members`` (rep) of candidate pairs; ``docs`` has (doc_id, text).
+
+    A bitmap of fixed size lets the scan pass over nearly all other documents
+    while it is far from full; the exact semi join decides in any case.
     """
-    members = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    bitmap = members.sparkSession.sparkContext.broadcast(_among(members, p.filter_bits))
+
+    @F.pandas_udf("boolean")
+    def maybe(bit: pd.Series) -> pd.Series:
+        at = bit.fillna(0).to_numpy(np.int64)
+        return pd.Series((bitmap.value[at >> 3] >> (at & 7)) & 1 == 1)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [s.view(np.int64) for s in shingle_sets(part.column("text").to_pylist(), p.shingle_words)]
-                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(found, pa.list_(pa.int64()))], names=["rep", "shingles"])
+                found = list(shingle_sets(part.column("text").to_pylist(), p.shingle_words))
+                slots = [(mix64(super_min_hash(s, p.slots).view(U64)) >> U64(48)).astype(np.uint16).tobytes() if len(s) else None for s in found]
+                columns = [part.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), pa.array(slots, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["rep", "n_shingles", "shingles", "slots"])
 
-    needed = docs.join(members, "rep", "left_semi").mapInArrow(sets, "rep long, shingles array<long>").persist(StorageLevel.DISK_ONLY)
-    left = needed.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    right = needed.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+    likely = docs.select("doc_id", "text").where(maybe(_bit_of(F.col("doc_id"), p.filter_bits)))
+    found = likely.mapInArrow(sets, "rep long, n_shingles long, shingles array<long>, slots binary")
+    return found.where("n_shingles > 0").join(members, "rep", "left_semi")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, p: DedupParams) -> DataFrame:
+    """The pairs (a, b) that are near enough on their full sets."""
+    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
     return pairs.join(left, "a").join(right, "b").where(common * 100 >= union * p.min_percent).select("a", "b")
@@ -287,18 +313,14 @@ def union_find(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _cross_group_pairs(open_rows: DataFrame, sigs: DataFrame, p: DedupParams) -> DataFrame:
-    """Pairs of one bucket's members in different groups.
-
-    ``open_rows`` (band, key, rep, root, n, size of bucket) of all buckets with more than one group.
-    """
-    ratio = (F.least("na", "nb") * 100) >= (F.greatest("na", "nb") * p.min_percent)
+def _cross_group_pairs(open_rows: DataFrame, sets: DataFrame, p: DedupParams) -> DataFrame:
+    """Pairs of one bucket's members in different groups, for ``open_rows`` (bucket, rep, root, members)."""
     small = open_rows.where(F.col("members") <= p.small_bucket)
-    x = small.select("band", "key", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"))
-    y = small.select("band", "key", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"))
-    few = x.join(y, ["band", "key"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & ratio).select("a", "b")
+    x = small.select("bucket", F.col("rep").alias("a"), F.col("root").alias("ra"))
+    y = small.select("bucket", F.col("rep").alias("b"), F.col("root").alias("rb"))
+    few = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b")
 
-    large = open_rows.where(F.col("members") > p.small_bucket).join(sigs.select("rep", "slots"), "rep")
+    large = open_rows.where(F.col("members") > p.small_bucket).join(sets.select("rep", "n_shingles", "slots"), "rep")
     blocks = F.ceil(F.col("members") / p.block).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     others = F.explode(F.sequence(F.lit(0), blocks - 1))
@@ -325,7 +347,7 @@ def _cross_group_pairs(open_rows: DataFrame, sigs: DataFrame, p: DedupParams) ->
                 b += rep[at].tolist()
         return pd.DataFrame({"a": np.minimum(a, b).astype("int64"), "b": np.maximum(a, b).astype("int64")} if a else {"a": np.empty(0, "int64"), "b": np.empty(0, "int64")})
 
-    many = large.select("band", "key", "i", "j", "mine", "rep", "root", "n_shingles", "slots").groupBy("band", "key", "i", "j").applyInPandas(compare, "a long, b long")
+    many = large.select("bucket", "i", "j", "mine", "rep", "root", "n_shingles", "slots").groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
     return few.union(many).distinct()
 
 
@@ -334,21 +356,24 @@ def components(docs: DataFrame, params: DedupParams = PRODUCTION) -> tuple[DataF
     p = params
     rows = signatures(docs, p)
     rows = checkpointed(rows.withColumn("set_key", F.when(F.col("doc_id").isNotNull(), F.col("set_key"))))
-    classes = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min_by("slots", "doc_id").alias("slots"), F.min_by("bands", "doc_id").alias("bands"))
-    classes = checkpointed(classes)
-    banded = classes.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.min("rep").alias("lead"), F.count("*").alias("members")).where("members > 1")
-    in_buckets = checkpointed(banded.join(buckets, ["band", "key"]).select("band", "key", "rep", "n_shingles", "lead", "members"))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text")
-    stars = in_buckets.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    edges = checkpointed(verified(stars, texts, p))
+    classes = checkpointed(rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")))
+    firsts = rows.select("set_key", F.col("doc_id").alias("rep"), "bands").join(classes, ["set_key", "rep"])
+    banded = firsts.select("rep", F.explode("bands").alias("bucket"))
+    buckets = banded.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("bucket", "lead")
+    in_buckets = checkpointed(banded.join(buckets, "bucket").select("bucket", "rep", "lead"))
+
+    members = checkpointed(in_buckets.select("rep").distinct())
+    sets = member_sets(members, docs, p).persist(StorageLevel.DISK_ONLY)
+    first = in_buckets.where("rep <> lead").groupBy("rep").agg(F.min("lead").alias("lead")).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    edges = checkpointed(verified(first, sets, p))
     roots = union_find(edges)
-    in_groups = in_buckets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    split = in_groups.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key")
-    still_open = checkpointed(in_groups.join(split, ["band", "key"]).select("band", "key", "rep", "root", "n_shingles", "members"))
-    more = checkpointed(_cross_group_pairs(still_open, classes, p).join(stars, ["a", "b"], "left_anti"))
+
+    in_groups = in_buckets.select("bucket", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    split = in_groups.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low < high").select("bucket", "members")
+    still_open = checkpointed(in_groups.join(split, "bucket"))
+    more = checkpointed(_cross_group_pairs(still_open, sets, p).join(first, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        roots = union_find(edges.union(verified(more, texts, p)))
+        roots = union_find(edges.union(verified(more, sets, p)))
     groups = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component_id"))
     return rows, groups
 
