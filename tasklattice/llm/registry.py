@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tasklattice.llm import mjpeg_avi, near_dedup, packing, quality_rules, sharding, url_filters
+from tasklattice.llm import mjpeg_avi, near_dedup, packing, pii, quality_rules, sharding, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_best_fit_packing": packing.query,
+    "op3_bootstrap_pii": pii.query,
     "op4_histogram_sort": sharding.query,
     "op5_minhash_dedup": near_dedup.query,
     "op6_mjpeg_avi": mjpeg_avi.query,
