@@ -11,9 +11,9 @@
    paired with the smallest leader of its buckets (linear in the members); the
    pairs are verified on the full shingle sets and joined by union-find.
 4. Buckets whose members are still in different groups are searched in full:
-   small ones by a join across groups, large ones in blocks spread over tasks,
-   where pairs of differing size or signature are passed over.  Hits are
-   verified and joined too, so no bucket is cut short.
+   small ones by a join across groups, large ones in blocks spread over tasks
+   that verify on the full sets and give a forest of the links.  No bucket is
+   cut short.
 
 Two texts of similarity s share none of the 32 bands with probability
 (1 - s^4)^32: 5e-6 at 0.75 and below 1e-9 at 0.83.
@@ -57,9 +57,7 @@ class DedupParams:
     rows: int = 4
     #: Buckets of more members are searched in blocks.
     small_bucket: int = 32
-    block: int = 2000
-    #: In blocks, pairs with fewer equal slots of 128 are not near 0.75: that many lie over 8 standard errors below.
-    min_equal_slots: int = 56
+    block: int = 1000
     #: Bits, as a power of 2, of the bitmap by which the second scan passes over documents in no candidate pair.
     filter_bits: int = 25
 
@@ -234,7 +232,7 @@ def _bit_of(rep: Column, bits: int) -> Column:
 
 
 def member_sets(members: DataFrame, docs: DataFrame, p: DedupParams) -> DataFrame:
-    """rep, n_shingles, shingles and slots of the ``members`` (rep) of candidate pairs; ``docs`` has (doc_id, text).
+    """rep and shingles of the ``members`` (rep) of candidate pairs; ``docs`` has (doc_id, text).
 
     A bitmap of fixed size lets the scan pass over nearly all other documents
     while it is far from full; the exact semi join decides in any case.
@@ -251,13 +249,12 @@ def member_sets(members: DataFrame, docs: DataFrame, p: DedupParams) -> DataFram
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 found = list(shingle_sets(part.column("text").to_pylist(), p.shingle_words))
-                slots = [(mix64(super_min_hash(s, p.slots).view(U64)) >> U64(48)).astype(np.uint16).tobytes() if len(s) else None for s in found]
-                columns = [part.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), pa.array(slots, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["rep", "n_shingles", "shingles", "slots"])
+                columns = [part.column("doc_id"), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["rep", "shingles"])
 
     likely = docs.select("doc_id", "text").where(maybe(_bit_of(F.col("doc_id"), p.filter_bits)))
-    found = likely.mapInArrow(sets, "rep long, n_shingles long, shingles array<long>, slots binary")
-    return found.where("n_shingles > 0").join(members, "rep", "left_semi")
+    found = likely.mapInArrow(sets, "rep long, shingles array<long>")
+    return found.where("size(shingles) > 0").join(members, "rep", "left_semi")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, p: DedupParams) -> DataFrame:
@@ -313,14 +310,21 @@ def union_find(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _cross_group_pairs(open_rows: DataFrame, sets: DataFrame, p: DedupParams) -> DataFrame:
-    """Pairs of one bucket's members in different groups, for ``open_rows`` (bucket, rep, root, members)."""
+def _small_bucket_pairs(open_rows: DataFrame, p: DedupParams) -> DataFrame:
+    """All pairs across groups in buckets of ``small_bucket`` members at most: linear in the members."""
     small = open_rows.where(F.col("members") <= p.small_bucket)
     x = small.select("bucket", F.col("rep").alias("a"), F.col("root").alias("ra"))
     y = small.select("bucket", F.col("rep").alias("b"), F.col("root").alias("rb"))
-    few = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b")
+    return x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b").distinct()
 
-    large = open_rows.where(F.col("members") > p.small_bucket).join(sets.select("rep", "n_shingles", "slots"), "rep")
+
+def _large_bucket_links(open_rows: DataFrame, sets: DataFrame, p: DedupParams) -> DataFrame:
+    """Links across groups in larger buckets, verified on the full sets block by block.
+
+    Each pair of blocks of a bucket is a task of its own and gives a forest of
+    the links that it finds, so at most one link for each member.
+    """
+    large = open_rows.where(F.col("members") > p.small_bucket).join(sets.select("rep", "shingles"), "rep")
     blocks = F.ceil(F.col("members") / p.block).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     others = F.explode(F.sequence(F.lit(0), blocks - 1))
@@ -328,27 +332,42 @@ def _cross_group_pairs(open_rows: DataFrame, sets: DataFrame, p: DedupParams) ->
     large = large.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("n_shingles", kind="stable")
-        rep, root, n, mine = (f[c].to_numpy() for c in ("rep", "root", "n_shingles", "mine"))
-        slots = np.frombuffer(b"".join(f["slots"]), np.uint16).reshape(len(f), -1)
+        f = f.assign(n=f["shingles"].map(len)).sort_values(["n", "rep"])
+        rep, group, n, mine = (f[c].to_numpy(copy=True) for c in ("rep", "root", "n", "mine"))
         whole = f["i"].iat[0] == f["j"].iat[0]
+        _, ids = np.unique(np.concatenate(f["shingles"].to_list()), return_inverse=True)
+        starts = np.concatenate(([0], np.cumsum(n)))
+        held = np.zeros(ids.max() + 1, np.int32)
         a, b = [], []
         for k in range(len(f) - 1):
             end = np.searchsorted(n, n[k] * 100 // p.min_percent, side="right")
-            if end <= k + 1:
-                continue
-            near = root[k + 1 : end] != root[k]
+            apart = group[k + 1 : end] != group[k]
             if not whole:
-                near &= mine[k + 1 : end] != mine[k]
-            at = np.flatnonzero(near) + k + 1
+                apart &= mine[k + 1 : end] != mine[k]
+            if not apart.any():
+                continue
+            own = ids[starts[k] : starts[k + 1]]
+            held[own] = 1
+            common = np.add.reduceat(held[ids[starts[k + 1] : starts[end]]], starts[k + 1 : end] - starts[k + 1])
+            held[own] = 0
+            linked = apart & (common * 100 >= (n[k] + n[k + 1 : end] - common) * p.min_percent)
+            at = np.flatnonzero(linked) + k + 1
             if len(at):
-                at = at[(slots[at] == slots[k]).sum(1) >= p.min_equal_slots]
-                a += [rep[k]] * len(at)
-                b += rep[at].tolist()
-        return pd.DataFrame({"a": np.minimum(a, b).astype("int64"), "b": np.maximum(a, b).astype("int64")} if a else {"a": np.empty(0, "int64"), "b": np.empty(0, "int64")})
+                groups, first = np.unique(group[at], return_index=True)
+                a += [rep[k]] * len(first)
+                b += rep[at[first]].tolist()
+                group[np.isin(group, groups)] = group[k]
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    rows = large.select("bucket", "i", "j", "mine", "rep", "root", "shingles")
+    return rows.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
+
 
-    many = large.select("bucket", "i", "j", "mine", "rep", "root", "n_shingles", "slots").groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
-    return few.union(many).distinct()
+def _open_buckets(in_buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (bucket, rep, root, members) of the buckets whose members are in more than one group."""
+    grouped = in_buckets.select("bucket", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    split = grouped.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
+    return checkpointed(grouped.join(split.where("low < high").select("bucket", "members"), "bucket"))
 
 
 def components(docs: DataFrame, params: DedupParams = PRODUCTION) -> tuple[DataFrame, DataFrame]:
@@ -368,12 +387,11 @@ def components(docs: DataFrame, params: DedupParams = PRODUCTION) -> tuple[DataF
     edges = checkpointed(verified(first, sets, p))
     roots = union_find(edges)
 
-    in_groups = in_buckets.select("bucket", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    split = in_groups.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low < high").select("bucket", "members")
-    still_open = checkpointed(in_groups.join(split, "bucket"))
-    more = checkpointed(_cross_group_pairs(still_open, sets, p).join(first, ["a", "b"], "left_anti"))
+    still_open = _open_buckets(in_buckets, roots)
+    few = _small_bucket_pairs(still_open, p).join(first, ["a", "b"], "left_anti")
+    more = checkpointed(verified(checkpointed(few), sets, p).union(_large_bucket_links(still_open, sets, p)))
     if not more.isEmpty():
-        roots = union_find(edges.union(verified(more, sets, p)))
+        roots = union_find(edges.union(more))
     groups = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component_id"))
     return rows, groups
 
