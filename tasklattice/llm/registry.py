@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tasklattice.llm import mjpeg_avi, near_dedup, packing, pii, quality_rules, sharding, url_filters
+from tasklattice.llm import language_id, mjpeg_avi, near_dedup, packing, pieces, pii, quality_rules, sharding, url_filters, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -11,6 +11,9 @@ QUERIES = {
     "op4_histogram_sort": sharding.query,
     "op5_minhash_dedup": near_dedup.query,
     "op6_mjpeg_avi": mjpeg_avi.query,
+    "op7_viterbi_pieces": pieces.query,
+    "op8_warc_transactions": warc.query,
+    "op9_language_id": language_id.query,
     "op10_url_filters": url_filters.query,
 }
 
