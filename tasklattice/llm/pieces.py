@@ -41,6 +41,7 @@ LITERAL = "\ud800"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _BASE = 0xC6A4A7935BD1E995
 UNKNOWN_PENALTY = 10.0
+_MAYBE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -101,14 +102,17 @@ class Pieces:
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a key")
         self.unknown = self.scores.min() - UNKNOWN_PENALTY
+        #: Whether any key ends in these bits: spares most probes.
+        self.maybe = np.zeros(_MAYBE, bool)
+        self.maybe[(self.keys & U64(_MAYBE - 1)).astype(np.int64)] = True
         self.data = data
         self.powers = [U64(pow(_BASE, k, 1 << 64)) for k in range(self.longest + 1)]
         self.sizes = np.array([len(x) for x in data], np.int64)
         self.blob = np.frombuffer(b"".join(data), np.uint8)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def segment(self, words: list[str]) -> list[list[int]]:
-        """Ids of words of one length."""
+    def segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of one length, one word after the other, and how many each has."""
         n, length = len(words), len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length)
         prefix = _hash(codes)
@@ -116,8 +120,11 @@ class Pieces:
         found = np.full((most + 1, n, length + 1), -1, np.int32)
         for k in range(1, most + 1):
             key = _key(prefix[:, k:] - prefix[:, :-k] * self.powers[k], k)
-            at = np.minimum(np.searchsorted(self.keys, key.ravel()), len(self.keys) - 1)
-            found[k, :, k:] = np.where(self.keys[at] == key.ravel(), at, -1).reshape(key.shape)
+            flat, slot = key.ravel(), np.full(key.size, -1, np.int32)
+            likely = np.flatnonzero(self.maybe[(flat & U64(_MAYBE - 1)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.keys, flat[likely]), len(self.keys) - 1)
+            slot[likely] = np.where(self.keys[at] == flat[likely], at, -1)
+            found[k, :, k:] = slot.reshape(key.shape)
         best = np.zeros((n, length + 1))
         back = np.zeros((n, length + 1), np.int8 if most < 127 else np.int32)
         for end in range(1, length + 1):
@@ -128,22 +135,30 @@ class Pieces:
                 more = total > tops
                 tops[more], back_here[more] = total[more], k
             best[:, end], back[:, end] = tops, back_here
-        out = []
-        back_rows = back.tolist()
-        for r in range(n):
-            end, own = length, []
-            steps = back_rows[r]
-            while end:
-                k = steps[end]
-                slot = found[k, r, end]
-                if slot >= 0:
-                    own.append(int(self.ids[slot]))
-                else:
-                    data = words[r][end - 1].replace(LITERAL, MARK).encode("utf-8", "surrogatepass")
-                    own += self.byte_id[list(data[::-1])].tolist()
-                end -= k
-            out.append(own[::-1])
-        return out
+        # All words follow their backpointers together; unknown characters keep their place, as -2 and below.
+        rows, end = np.arange(n), np.full(n, length)
+        steps = np.full((n, length), -1, np.int64)
+        for t in range(length):
+            k = back[rows, end]
+            slot = found[k, rows, end]
+            steps[rows, t] = np.where(slot >= 0, self.ids[slot], -1 - end)
+            end = end - k
+            rows, end = rows[end > 0], end[end > 0]
+            if not len(rows):
+                break
+        steps = steps[:, ::-1]
+        used = steps != -1
+        sizes, flat = used.sum(1), steps[used]
+        if (flat >= 0).all():
+            return flat.astype(np.int32), sizes
+        out, at = [], 0
+        for r, size in enumerate(sizes.tolist()):
+            own = []
+            for x in flat[at : at + size].tolist():
+                own += [x] if x >= 0 else self.byte_id[list(words[r][-2 - x].replace(LITERAL, MARK).encode("utf-8", "surrogatepass"))].tolist()
+            at += size
+            out.append(own)
+        return np.array([x for own in out for x in own], np.int32), np.array([len(x) for x in out])
 
     def encode(self, texts: list[str | None], group_cells: int) -> list[np.ndarray]:
         number: dict[str, int] = {}
@@ -157,16 +172,18 @@ class Pieces:
         by_length: dict[int, list[str]] = {}
         for w in number:
             by_length.setdefault(len(w), []).append(w)
-        ids: list[list[int]] = [[]] * len(number)
+        starts, sizes = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        parts, at_all = [], 0
         for length, words in by_length.items():
             step = max(1, group_cells // (length + 1))
             for at in range(0, len(words), step):
                 part = words[at : at + step]
-                for w, own in zip(part, self.segment(part), strict=True):
-                    ids[number[w]] = own
-        sizes = np.array([len(x) for x in ids], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        flat = np.array([x for own in ids for x in own], np.int32)
+                own, n = self.segment(part)
+                place = np.array([number[w] for w in part])
+                sizes[place], starts[place] = n, at_all + np.cumsum(n) - n
+                parts.append(own)
+                at_all += len(own)
+        flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
         return [_gather(flat, starts[r], sizes[r]) for r in rows]
 
     def decode(self, ids: np.ndarray) -> str:
