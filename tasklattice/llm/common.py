@@ -61,3 +61,15 @@ def fresh_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name, k = f"{stem}_{k}", k + 1
     return name
+
+
+def sealed(df: DataFrame, kept: list[str], results: list[str]) -> DataFrame:
+    """``df`` with the columns ``kept`` and then ``results``, such that later filters on results stay above them.
+
+    A filter that the optimiser pushes below a projection takes the results'
+    expressions with it, and an array that was computed once for a row is then
+    computed anew for each element that a lambda visits.  A generator stops it.
+    """
+    seal = fresh_name(df, "_sealed")
+    own = [F.col(f"`{c}`") for c in kept]
+    return df.select(*own, F.explode(F.array(F.struct(*results))).alias(seal)).select(*own, f"{seal}.*")

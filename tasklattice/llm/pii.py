@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tasklattice.llm.common import checkpointed, fresh_name, words_of
+from tasklattice.llm.common import checkpointed, fresh_name, sealed, words_of
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -209,7 +209,8 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", id_col: str = "d
     base = fresh_name(docs, "_base")
     df = df.withColumn(base, F.concat(*[named(F.col(outs[kind]), kind) for kind in KINDS]))
     free = F.filter(F.coalesce(F.col(f), none), lambda c: ~F.exists(F.col(base), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return df.select(*[docs[f"`{c}`"] for c in keep], F.concat(F.col(base), named(free, "id")).alias("pii"))
+    found = df.select(*[docs[f"`{c}`"] for c in keep], F.concat(F.col(base), named(free, "id")).alias("pii"))
+    return sealed(found, keep, ["pii"])
 
 
 def spans_text(spans: Column) -> Column:

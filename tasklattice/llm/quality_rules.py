@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tasklattice.llm.common import GAP_CHARS, WORD_CLASS, fresh_name, words_of
+from tasklattice.llm.common import GAP_CHARS, WORD_CLASS, fresh_name, sealed, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Marks that may close a line.
@@ -140,7 +140,7 @@ def apply_quality_rules(docs: DataFrame, text_col: str = "text", params: Quality
     )
     df = df.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("line_chars") * p.max_lost_percent))
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines", "n_removed_lines", "line_chars", "lost_chars", "removed", "clean_text", "kept"]
-    return df.select(*[F.col(f"`{c}`") for c in out if c.lower() not in added], *added)
+    return sealed(df, [c for c in out if c.lower() not in added], added)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
