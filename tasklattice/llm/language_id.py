@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tasklattice.llm.common import checkpointed, fresh_name
+from tasklattice.llm.common import checkpointed, fresh_name, sealed
 
 
 @dataclass(frozen=True)
@@ -98,7 +98,10 @@ def fit(rows: DataFrame, p: LanguageParams = PRODUCTION) -> TextModel:
     """Model from ``rows`` (text, declared); collects the bounded sample."""
     first = Window.partitionBy("declared").orderBy("h", "text")
     known = rows.where("declared is not null and declared <> '' and text is not null")
-    small = known.select("declared", F.substring("text", 1, p.sample_bytes).alias("text"), F.xxhash64("text").alias("h"))
+    # Only rows whose hash is small enough for some four times the sample are ranked, so ranking does not grow with the table.
+    shares = F.broadcast(known.groupBy("declared").agg(F.least(F.lit(1.0), 4.0 * p.sample_rows / F.count("*")).alias("share")))
+    small = known.withColumn("h", F.xxhash64("text")).join(shares, "declared").where(F.col("h") / 2.0**64 + 0.5 <= F.col("share"))
+    small = small.select("declared", F.substring("text", 1, p.sample_bytes).alias("text"), "h")
     sample = small.withColumn("k", F.row_number().over(first)).where(F.col("k") <= p.sample_rows).select("declared", "text").collect()
     languages = tuple(sorted({r["declared"] for r in sample}))
     counts = np.full((1 << p.bits, len(languages)), p.smoothing)
@@ -150,7 +153,8 @@ def identify(
     rows = df.withColumns(evidence)
     model = fit(rows.select(F.col(name["text"]).alias("text"), F.col(name["declared"]).alias("declared")), p)
     langs = model.languages
-    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in added]
+    names = [c for c in df.columns if c.lower() not in added]
+    kept = [F.col(f"`{c}`") for c in names]
     if not langs:
         return df.select(*kept, F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), F.lit("und").alias("text_language"), F.lit(False).alias("accepted"))
     sent = df.sparkSession.sparkContext.broadcast(model)
@@ -198,7 +202,8 @@ def identify(
     share = F.aggregate(name["post"], F.lit(0.0), lambda a, x: a + F.exp(x - F.col(name["top"])))
     found = F.coalesce(best_of(F.col(name["post"])), F.lit("und"))
     posterior = F.coalesce(F.round(1.0 / share, 6), F.lit(0.0))
-    return out.select(*kept, found.alias("language"), posterior.alias("posterior"), F.col(name["best"]).alias("text_language"), ((found != "und") & (posterior >= p.min_posterior)).alias("accepted"))
+    judged = out.select(*kept, found.alias("language"), posterior.alias("posterior"), F.col(name["best"]).alias("text_language"), ((found != "und") & (posterior >= p.min_posterior)).alias("accepted"))
+    return sealed(judged, names, list(added))
 
 
 def identify_documents(docs: DataFrame, params: LanguageParams = PRODUCTION) -> DataFrame:
