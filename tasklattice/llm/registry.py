@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tasklattice.llm import language_id, mjpeg_avi, near_dedup, packing, pieces, pii, quality_rules, sharding, url_filters, warc
+from tasklattice.llm import language_id, mjpeg_avi, near_dedup, oracles, packing, pieces, pii, quality_rules, sharding, url_filters, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -17,4 +17,4 @@ QUERIES = {
     "op10_url_filters": url_filters.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.SQL
