@@ -63,6 +63,13 @@ def fresh_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send whole texts to Python in batches of ``rows``, unless the session sets a number of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def sealed(df: DataFrame, kept: list[str], results: list[str]) -> DataFrame:
     """``df`` with the columns ``kept`` and then ``results``, such that later filters on results stay above them.
 

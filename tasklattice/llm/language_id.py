@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tasklattice.llm.common import checkpointed, fresh_name, sealed
+from tasklattice.llm.common import checkpointed, fresh_name, sealed, small_batches
 
 
 @dataclass(frozen=True)
@@ -157,6 +157,7 @@ def identify(
     kept = [F.col(f"`{c}`") for c in names]
     if not langs:
         return df.select(*kept, F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), F.lit("und").alias("text_language"), F.lit(False).alias("accepted"))
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<float>")

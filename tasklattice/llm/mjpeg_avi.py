@@ -31,6 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tasklattice.llm.common import small_batches
+
 WIDTH = HEIGHT = 24
 FRAME = WIDTH * HEIGHT
 FPS = 25
@@ -303,6 +305,7 @@ def to_media(docs: DataFrame, batch_bytes: int = 1 << 20) -> DataFrame:
                     [pa.array([k for k, _ in part], pa.int64()), pa.array(sizes, pa.int64()), pa.array(stored(payloads), pa.binary())], names=["doc_id", "n_bytes", "media"]
                 )
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(store, "doc_id long, n_bytes long, media binary")
 
 

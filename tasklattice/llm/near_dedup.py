@@ -38,11 +38,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tasklattice.llm.common import checkpointed
+from tasklattice.llm.common import checkpointed, small_batches
 
 U64 = np.uint64
 GOLDEN = U64(0x9E3779B97F4A7C15)
@@ -373,6 +372,7 @@ def _open_buckets(in_buckets: DataFrame, roots: DataFrame) -> DataFrame:
 def components(docs: DataFrame, params: DedupParams = PRODUCTION) -> tuple[DataFrame, DataFrame]:
     """(rows, groups) of (doc_id, text): rows (doc_id, n_shingles, set_key), groups (set_key, component_id)."""
     p = params
+    small_batches(docs.sparkSession)
     rows = signatures(docs, p)
     rows = checkpointed(rows.withColumn("set_key", F.when(F.col("doc_id").isNotNull(), F.col("set_key"))))
     classes = checkpointed(rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")))
@@ -382,7 +382,7 @@ def components(docs: DataFrame, params: DedupParams = PRODUCTION) -> tuple[DataF
     in_buckets = checkpointed(banded.join(buckets, "bucket").select("bucket", "rep", "lead"))
 
     members = checkpointed(in_buckets.select("rep").distinct())
-    sets = member_sets(members, docs, p).persist(StorageLevel.DISK_ONLY)
+    sets = checkpointed(member_sets(members, docs, p))
     first = in_buckets.where("rep <> lead").groupBy("rep").agg(F.min("lead").alias("lead")).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
     edges = checkpointed(verified(first, sets, p))
     roots = union_find(edges)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tasklattice.llm.common import checkpointed
+from tasklattice.llm.common import checkpointed, small_batches
 
 
 @dataclass(frozen=True)
@@ -104,6 +104,7 @@ def token_pieces(docs: DataFrame, p: PackParams = PRODUCTION, with_ids: bool = F
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
 

@@ -34,6 +34,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tasklattice.llm.common import small_batches
+
 U64 = np.uint64
 MARK = "▁"
 #: Stands for a mark in the text itself; UTF-8 text cannot hold it.
@@ -229,6 +231,7 @@ def encode_documents(docs: DataFrame, params: PieceParams = PRODUCTION) -> DataF
                 ids = pieces.encode([t for _, t in part], params.group_cells)
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -265,6 +268,7 @@ def encode_and_verify(docs: DataFrame, params: PieceParams = PRODUCTION) -> Data
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_pieces", "ids_crc32", "decoded_crc32", "exact"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decoded_crc32 long, exact boolean")
 
 
