@@ -71,7 +71,7 @@ def test_centralities_of_a_cycle_and_a_star(spark):
 def test_cores_cuts_and_cover(spark):
     pairs = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 4)]
     g = graph(spark, 6, pairs)
-    assert got(g.core_numbers(), "id", "core") == [(0, 2), (1, 2), (2, 2), (3, 1), (4, 1), (5, 0)] or got(g.core_numbers(), "id", "core")[4][1] in (1, 2)
+    assert got(g.core_numbers(), "id", "core") == [(0, 2), (1, 2), (2, 2), (3, 2), (4, 2), (5, 0)]
     assert got(g.articulation_points(), "id") == [(2,), (3,)]
     assert got(g.bridges(), "low", "high") == [(2, 3), (3, 4)]
     assert got(g.strong_components(), "id", "scc", "members")[:3] == [(0, 0, 3), (1, 0, 3), (2, 0, 3)]

@@ -211,4 +211,4 @@ def test_debounce(spark):
     kept = sorted((r.k, r.kept_at) for r in snapshots.leading(events, "k", "t", 0.1).collect())
     assert kept == [("a", at(0)), ("a", at(100)), ("a", at(210)), ("a", at(400)), ("b", at(0))]
     fired = sorted((r.k, r.fired_at, r.events) for r in snapshots.trailing(events, "k", "t", "100 milliseconds").collect())
-    assert fired == [("a", at(250), 5), ("a", at(310), 1), ("a", at(500), 1), ("b", at(100), 1)] or [f[2] for f in fired][-1] == 1
+    assert fired == [("a", at(310), 6), ("a", at(500), 1), ("b", at(100), 1)]
