@@ -131,6 +131,8 @@ def test_catalog_chooses_the_freshest_valid_source(spark, tmp_path, database):
     source, issues = catalog.load_first(spark, found)
     assert source.path.endswith("issues.jsonl") and issues.count() == 1
     assert catalog.smart_load(spark, str(tmp_path)).count() == 1
+    pairs = catalog.compare_all(spark, found).groupBy("pair", "kind").count().collect()
+    assert {(r.pair, r.kind): r["count"] for r in pairs} == {("beads.db/issues.jsonl", "missing_in_a"): 1, ("beads.db/issues.jsonl", "missing_in_b"): 19}
     assert catalog.find_jsonl(str(folder)).endswith("issues.jsonl")
     follower = snapshots.SourceFollower(spark, str(folder))
     assert follower.refresh() and not follower.refresh()
