@@ -214,3 +214,21 @@ def test_debounce(spark):
     assert kept == [("a", at(0)), ("a", at(100)), ("a", at(210)), ("a", at(400)), ("b", at(0))]
     fired = sorted((r.k, r.fired_at, r.events) for r in snapshots.trailing(events, "k", "t", "100 milliseconds").collect())
     assert fired == [("a", at(310), 6), ("a", at(500), 1), ("b", at(100), 1)]
+
+
+def test_leading_debounce_in_a_stream(spark, tmp_path):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        folder = tmp_path / "events"
+        folder.mkdir()
+        rows = [("a", 0), ("a", 50), ("b", 10), ("a", 120), ("a", 180), ("a", 230)]
+        write(folder / "e.json", [json.dumps({"k": k, "t": f"2026-01-01T00:00:00.{ms:03d}Z"}) for k, ms in rows])
+        events = spark.readStream.schema("k string, t timestamp").json(str(folder))
+        out = snapshots.leading_stream(events, "k", "t", 100)
+        q = out.writeStream.format("memory").queryName("kept_events").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        base = 1767225600000000
+        assert sorted((r.key, (r.at - base) // 1000) for r in spark.table("kept_events").collect()) == [("a", 0), ("a", 120), ("a", 230), ("b", 10)]
+    finally:
+        spark.conf.unset(name)
