@@ -221,4 +221,4 @@ def identify_pages(pages: DataFrame, params: LanguageParams = PRODUCTION) -> Dat
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    return identify_documents(docs).select("doc_id", "language", "posterior", "text_language", "accepted")
+    return identify_documents(docs).select("doc_id", "language", "posterior", "text_language", F.col("accepted").alias("kept"))
