@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tasklattice.workspace import cut
 
+ROWS_PER_CALL = 100_000
+
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that is reachable whichever way edges point.
@@ -41,6 +44,7 @@ def by_component(nodes: DataFrame, edges: DataFrame, run: Callable, schema: str,
     node to its values of the ``extra`` columns.  A component is one task, so one
     with more than ``max_edges`` edges is refused: use the round-based operators.
     """
+    spark = nodes.sparkSession
     comp = cut(weak_components(nodes, edges))
     own = edges.join(comp.withColumnRenamed("id", "src"), "src")
     largest = own.groupBy("component").count().agg(F.max("count")).first()[0] or 0
@@ -49,15 +53,21 @@ def by_component(nodes: DataFrame, edges: DataFrame, run: Callable, schema: str,
     filler = [F.lit(None).cast(dict(nodes.dtypes)[c]).alias(c) for c in extra]
     rows = nodes.join(comp, "id").select("component", F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), *extra)
     rows = rows.unionByName(own.select("component", "src", "dst", *filler))
+    # Small components share a call: many calls of a few rows each would cost more than the work.
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(nodes.count() + edges.count()) // ROWS_PER_CALL))
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def apply(f: pd.DataFrame) -> pd.DataFrame:
-        is_node = f["dst"].isna()
-        top = f[is_node].sort_values("src")
-        ids = top["src"].tolist()
-        pairs = f[~is_node].sort_values(["src", "dst"])
-        extras = {c: dict(zip(ids, top[c].tolist(), strict=True)) for c in extra}
-        out = run(ids, list(zip(pairs["src"].astype("int64").tolist(), pairs["dst"].astype("int64").tolist(), strict=True)), extras)
-        names = [x.strip().split(" ")[0] for x in schema.split(",")]
+        f = f.assign(o=f["dst"].notna()).sort_values(["component", "o", "src", "dst"])
+        comp_of, is_edge = f["component"].to_numpy(), f["o"].to_numpy()
+        src, dst = f["src"].tolist(), f["dst"].fillna(-1).astype("int64").tolist()
+        values = {c: f[c].tolist() for c in extra}
+        starts = np.flatnonzero(np.concatenate(([True], comp_of[1:] != comp_of[:-1])))
+        out = []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(f)], strict=True):
+            mid = b - int(is_edge[a:b].sum())
+            ids = src[a:mid]
+            out += run(ids, list(zip(src[mid:b], dst[mid:b], strict=True)), {c: dict(zip(ids, v[a:mid], strict=True)) for c, v in values.items()})
         return pd.DataFrame(out, columns=names)
 
-    return rows.groupBy("component").applyInPandas(apply, schema)
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets))).groupBy("bucket").applyInPandas(apply, schema)

@@ -457,3 +457,58 @@ query("l07_unblock_ranking", GAIN + "SELECT id, n FROM gain ORDER BY n DESC, id
 
 query("m02_trailing_debounce", "SELECT user_id, max(ts) + INTERVAL 1 HOUR AS fired_at, count(*) AS events FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, burst")(lambda s, d: snapshots.trailing(tables.read(s, d, "events"), "user_id", "ts", "1 hour"))
 query("m03_leading_debounce")(lambda s, d: snapshots.leading(tables.read(s, d, "events"), "user_id", "ts", 3600.0))
+
+
+@query("m06_snapshot_counts", f"SELECT count(CASE WHEN NOT {CLOSED} THEN 1 END) AS open_count, count(CASE WHEN NOT {CLOSED} AND status <> 'blocked' THEN 1 END) AS ready_count, count(CASE WHEN status = 'blocked' THEN 1 END) AS blocked_count, count(CASE WHEN {CLOSED} THEN 1 END) AS closed_count FROM issues WHERE key % 20 = 0")
+def m06(spark, sf_dir):
+    snaps = snapshots.Snapshots(spark, scratch(spark, "snapshots"))
+    snaps.publish(tables.issues(spark, sf_dir).where("key % 20 = 0"))
+    return snaps.read("counts")
+
+
+@query("m07_batch_dedup", "SELECT 2::BIGINT AS version, 1::BIGINT AS passed_over")
+def m07(spark, sf_dir):
+    snaps = snapshots.Snapshots(spark, scratch(spark, "snapshots"))
+    rows = tables.issues(spark, sf_dir).where("key % 100 = 0")
+    for batch in (rows, rows.orderBy("title"), rows.withColumn("priority", F.lit(4))):
+        snaps.publish(batch)
+    return spark.createDataFrame([(snaps.version, snaps.passed_over)], "version bigint, passed_over bigint")
+
+
+@query("h03_filtered_preorder", TREE + """, hit AS (SELECT id FROM issues WHERE key % 101 = 0), kept AS (SELECT DISTINCT t.id, t.depth, t.path FROM tree t WHERE t.id IN (SELECT id FROM hit) OR t.id IN (SELECT unnest(path[1:len(path) - 1]) FROM tree WHERE id IN (SELECT id FROM hit)))
+SELECT id, row_number() OVER (PARTITION BY path[1] ORDER BY depth, i.priority, i.created_at, id) AS place FROM kept JOIN issues i USING (id)""")
+def h03(spark, sf_dir):
+    from pyspark.sql import Window
+
+    issues = tables.issues(spark, sf_dir)
+    rows = hierarchy.with_context(hierarchy.forest(issues, tables.dependencies(spark, sf_dir)), issues.where("key % 101 = 0"))
+    w = Window.partitionBy(F.col("path")[0]).orderBy(F.array_join("sort_path", "."))
+    return rows.select("id", F.row_number().over(w).alias("place"))
+
+
+@query("h06_visible_counts", TREE + "SELECT depth, count(*) AS n FROM tree GROUP BY 1")
+def h06(spark, sf_dir):
+    return hierarchy.visible(_forest(spark, sf_dir), 9).groupBy("depth").agg(F.count("*").alias("n"))
+
+
+query("a39_graph_sink", "SELECT count(*) AS edges FROM edges WHERE src < 200 AND dst < 200")(lambda s, d: _sink(s, d))
+
+
+def _sink(spark, sf_dir):
+    from tasklattice.sources import graph_json
+
+    few = tables.issues(spark, sf_dir).where("key < 200").select(C("key").alias("id"))
+    g = _dag(spark, sf_dir).induced(few)
+    named = Graph(g.nodes.withColumn("name", F.concat(F.lit("n"), C("id").cast("string"))), g.edges)
+    path = scratch(spark, "graph")
+    graph_json.to_json(named).write.text(path)
+    return graph_json.read_graph(spark, path).edges.agg(F.count("*").alias("edges"))
+
+
+@query("a24_sprint_round_trip", "SELECT 'sp-' || c_custkey AS id, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 50 = 0 GROUP BY 1")
+def a24(spark, sf_dir):
+    orders = tables.read(spark, sf_dir, "orders").where("o_custkey % 50 = 0")
+    sprints = orders.groupBy(F.concat(F.lit("sp-"), C("o_custkey").cast("string")).alias("id")).agg(F.lit("sprint").alias("name"), F.collect_list(C("o_orderkey").cast("string")).alias("bead_ids"))
+    path = scratch(spark, "sprints")
+    jsonl.write_lines(sprints, path)
+    return jsonl.read_sprints(spark, path).select("id", F.size("bead_ids").cast("long").alias("n"))

@@ -39,7 +39,9 @@ def parse(lines: DataFrame, max_bytes: int = MAX_LINE_BYTES) -> tuple[DataFrame,
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     value = without_mark(F.col("value"))
     rows = lines.where(F.trim(value) != "").select(value.alias("value"), (F.octet_length("value") >= max_bytes).alias("long"))
-    rows = rows.withColumn("i", F.when(~F.col("long"), F.from_json("value", with_bad, options)))
+    # The generator keeps later filters from taking the parse with them, so each line is parsed once.
+    parsed = F.when(~F.col("long"), F.from_json("value", with_bad, options))
+    rows = rows.select("value", "long", F.explode(F.array(parsed)).alias("i"))
     rows = rows.withColumn("i", F.when(F.col("i").isNotNull(), F.col("i").withField("status", normal_status(F.col("i.status")))))
     reason = F.when(F.col("long"), "line too long").when(F.col("i").isNull() | F.col("i._bad").isNotNull(), "malformed").otherwise(reject_reason(F.col("i")))
     rows = rows.withColumn("reason", reason)
