@@ -191,8 +191,13 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
     return files.mapInArrow(parse, ", ".join(f"{n} {t}" for n, _, t in _FIELDS))
 
 
-def assemble(records: DataFrame) -> DataFrame:
-    """One row for each capture: page_id, record_type, payload_bytes, payload_digest, refers_to, and the three records nested."""
+def assemble(records: DataFrame, params: WarcParams = PRODUCTION) -> DataFrame:
+    """One row for each capture: page_id, record_type, payload_bytes, payload_digest, refers_to, and the three records nested.
+
+    ``records`` are read twice.  A payload that a third of all captures revisit
+    is one row of the table of stored captures that others refer to; that table
+    is broadcast up to ``broadcast_rows`` rows, so the revisits stay where they are.
+    """
     key = F.coalesce("concurrent_to", "record_id")
     main = F.col("kind").isin("response", "revisit")
     nested = lambda when, *cols: F.first(F.when(when, F.struct(*cols)), ignorenulls=True)
@@ -203,7 +208,12 @@ def assemble(records: DataFrame) -> DataFrame:
         nested(F.col("kind") == "metadata", "record_id", "page_id").alias("metadata"),
     )
     captures = captures.where("copies > 0")
-    stored = captures.where("response.kind = 'response'").select(F.col("capture_id").alias("stored_id"), F.col("metadata.page_id").alias("refers_to"))
+    referred = records.where("kind = 'revisit'").select(F.col("refers_to_id").alias("stored_id")).distinct()
+    told = records.where("kind = 'metadata'").select(F.col("concurrent_to").alias("stored_id"), "page_id")
+    stored = told.join(referred, "stored_id", "left_semi").groupBy("stored_id").agg(F.max("page_id").alias("refers_to"))
+    stored = checkpointed(stored)
+    if stored.count() <= params.broadcast_rows:
+        stored = F.broadcast(stored)
     joined = captures.join(stored, F.col("response.refers_to_id") == F.col("stored_id"), "left")
     joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return joined.select(
@@ -227,5 +237,5 @@ def archive_folder(spark: SparkSession) -> str:
 def query(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = write_archives(pages, archive_folder(spark))
-    captures = assemble(read_records(spark, path, with_payload=False))
+    captures = assemble(checkpointed(read_records(spark, path, with_payload=False)))
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("request.target_uri").alias("target_uri"))
