@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tasklattice.sources import jsonl
 
+# File names of the data format, in order, and date layouts.
 FILES = ("beads.jsonl", "issues.jsonl", "beads.base.jsonl")
 LAYOUTS = ("%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d")
 
