@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,13 +14,38 @@ from tasklattice.workspace import cut
 ROWS_PER_CALL = 100_000
 
 
+def _local_forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union-find over one task's links: each node with the smallest node that the task's links join it to."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        path = []
+        while (y := up.get(x, x)) != x:
+            path.append(x)
+            x = y
+        for y in path:
+            up[y] = x
+        return x
+
+    for f in frames:
+        for u, v in zip(f["u"].tolist(), f["v"].tolist(), strict=True):
+            a, b = top(u), top(v)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    if up:
+        nodes = list(up)
+        yield pd.DataFrame({"u": nodes, "v": [top(x) for x in nodes]})
+
+
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that is reachable whichever way edges point.
 
-    Alternating rounds of hooking to the smallest neighbour and of jumping to
-    the parent's parent; each round's table is checkpointed.
+    Each task first reduces its links to a forest, of a row for each node at
+    most; then rounds that hook to the smallest neighbour and rounds that jump to
+    the parent's parent alternate, each round's table checkpointed.
     """
-    links = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    links = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+    links = cut(links.mapInPandas(_local_forest, "u long, v long").distinct())
     state = None
     while True:
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
