@@ -368,6 +368,11 @@ def _tangle(spark, sf_dir) -> Graph:
     return Graph.build(*tables.supply_cycles(spark, sf_dir))
 
 
+def _supplies(spark, sf_dir) -> Graph:
+    """The steps of every part; nearly complete, so brute force on small tables tests it rather than SQL."""
+    return Graph.build(*tables.supply_cycles(spark, sf_dir, every=1))
+
+
 query("k01_build", "SELECT src, dst FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)")(lambda s, d: _dag(s, d).edges)
 query("k02_density", "SELECT n AS nodes, e AS edges, e / (n * (n - 1.0)) AS density FROM (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS e)")(lambda s, d: _dag(s, d).size())
 query("k04_degrees", "SELECT id, coalesce(o, 0) AS out_degree, coalesce(i, 0) AS in_degree FROM nodes LEFT JOIN (SELECT src, count(*) AS o FROM edges GROUP BY 1) ON src = id LEFT JOIN (SELECT dst, count(*) AS i FROM edges GROUP BY 1) ON dst = id")(lambda s, d: _dag(s, d).degrees())
@@ -420,10 +425,10 @@ dist AS (SELECT s, v, min(d) AS d FROM hop WHERE s <> v GROUP BY 1, 2 UNION ALL
 paths AS (SELECT s_suppkey AS s, s_suppkey AS v, 0 AS d, 1.0::DOUBLE AS n FROM supplier UNION ALL
   SELECT p.s, e.dst, p.d + 1, sum(p.n) FROM paths p JOIN cycle_edges e ON e.src = p.v JOIN dist t ON t.s = p.s AND t.v = e.dst AND t.d = p.d + 1 GROUP BY p.s, e.dst, p.d)
 SELECT s_suppkey AS id, round(coalesce(sum(b.n * c.n / a.n), 0), 6) AS score FROM supplier LEFT JOIN (paths b JOIN paths c ON c.s = b.v JOIN paths a ON a.s = b.s AND a.v = c.v AND a.d = b.d + c.d) ON b.v = s_suppkey AND b.s <> b.v AND c.v <> b.v GROUP BY 1""")(lambda s, d: _tangle(s, d).betweenness().select("id", F.round("score", 6).alias("score")))
-query("k15_betweenness_sampled")(lambda s, d: _tangle(s, d).betweenness_sampled(20))
-query("k16_core_numbers")(lambda s, d: _tangle(s, d).core_numbers())
-query("k17_articulation_points")(lambda s, d: _tangle(s, d).articulation_points())
-query("k18_bridges")(lambda s, d: _tangle(s, d).bridges())
+query("k15_betweenness_sampled")(lambda s, d: _supplies(s, d).betweenness_sampled(20))
+query("k16_core_numbers")(lambda s, d: _supplies(s, d).core_numbers())
+query("k17_articulation_points")(lambda s, d: _supplies(s, d).articulation_points())
+query("k18_bridges")(lambda s, d: _supplies(s, d).bridges())
 REACH = ", hop AS (SELECT src AS s, dst AS v FROM cycle_edges UNION SELECT s, dst FROM hop JOIN cycle_edges ON src = v)\n"
 query("k19_strong_components", REACH + "SELECT s_suppkey AS id, least(s_suppkey, coalesce((SELECT min(a.v) FROM hop a JOIN hop b ON b.s = a.v AND b.v = a.s WHERE a.s = s_suppkey), s_suppkey)) AS scc FROM supplier")(lambda s, d: _tangle(s, d).strong_components().select("id", "scc"))
 query("k20_cycles")(lambda s, d: _tangle(s, d).cycles(100))
@@ -431,7 +436,14 @@ query("k21_cycle_breaks")(lambda s, d: _tangle(s, d).cycle_breaks(10, 100))
 query("k22_quick_cycle_breaks", REACH + """, tangled AS (SELECT DISTINCT a.s AS id FROM hop a WHERE a.s = a.v)
 SELECT src, dst, 1::BIGINT AS cycles_broken, (SELECT count(*) FROM cycle_edges x WHERE x.src = e.src) + (SELECT count(*) FROM cycle_edges x WHERE x.dst = e.dst) AS collateral FROM cycle_edges e
 WHERE src IN (SELECT id FROM tangled) AND dst IN (SELECT id FROM tangled) ORDER BY collateral, src, dst LIMIT 10""")(lambda s, d: _tangle(s, d).quick_cycle_breaks(10))
-query("k23_vertex_cover")(lambda s, d: _tangle(s, d).cover(5))
+query("k23_vertex_cover")(lambda s, d: _supplies(s, d).cover(5))
+# The same operators over every part, with their own rounds and tolerances.
+query("k11_pagerank_whole")(lambda s, d: _supplies(s, d).pagerank())
+query("k12_hits_whole")(lambda s, d: _supplies(s, d).hits())
+query("k13_eigenvector_whole")(lambda s, d: _supplies(s, d).eigenvector())
+query("k14_betweenness_whole")(lambda s, d: _supplies(s, d).betweenness())
+query("k19_strong_components_whole")(lambda s, d: _supplies(s, d).strong_components().select("id", "scc"))
+query("k22_quick_cycle_breaks_whole")(lambda s, d: _supplies(s, d).quick_cycle_breaks(10))
 FROM_7 = ", hop AS (SELECT id FROM nodes WHERE id % 1000 = 7 UNION SELECT dst FROM hop JOIN edges ON src = hop.id)\n"
 _start = lambda s, d: tables.issues(s, d).where("key % 1000 = 7").select(C("key").alias("id"))
 query("k24_reachable", FROM_7 + "SELECT id FROM hop")(lambda s, d: _dag(s, d).reachable(_start(s, d)).select("id"))
