@@ -14,8 +14,8 @@ hot host is a few partial counts).  Tables of at most ``broadcast_rows`` rows
 are broadcast, larger ones joined by shuffle.
 
 The trigram models are fitted on a bounded sample: per language at most
-``sample_rows`` rows that declare it, the ones with the smallest hashes of their
-text, and the first ``sample_bytes`` of each.  Scoring reads whole texts.
+``sample_rows`` distinct texts that declare it, the ones with the smallest hashes,
+and the first ``sample_bytes`` of each.  A text of c copies weighs 1 + log2(c).  Scoring reads whole texts.
 
 A row is rejected when its text has letters too few to judge, or when the best
 language's posterior is below ``min_posterior``.
@@ -96,17 +96,19 @@ class TextModel:
 
 def fit(rows: DataFrame, p: LanguageParams = PRODUCTION) -> TextModel:
     """Model from ``rows`` (text, declared); collects the bounded sample."""
-    first = Window.partitionBy("declared").orderBy("h", "text")
-    known = rows.where("declared is not null and declared <> '' and text is not null")
-    # Only rows whose hash is small enough for some four times the sample are ranked, so ranking does not grow with the table.
-    shares = F.broadcast(known.groupBy("declared").agg(F.least(F.lit(1.0), 4.0 * p.sample_rows / F.count("*")).alias("share")))
-    small = known.withColumn("h", F.xxhash64("text")).join(shares, "declared").where(F.col("h") / 2.0**64 + 0.5 <= F.col("share"))
-    small = small.select("declared", F.substring("text", 1, p.sample_bytes).alias("text"), "h")
-    sample = small.withColumn("k", F.row_number().over(first)).where(F.col("k") <= p.sample_rows).select("declared", "text").collect()
+    known = rows.where("declared is not null and declared <> '' and text is not null").withColumn("h", F.xxhash64("text"))
+    # Copies share one place, however many there are, so they neither crowd out other texts nor thin a language's share.
+    texts = checkpointed(known.groupBy("declared", "h").agg((1.0 + F.log2(F.count("*"))).alias("weight")))
+    # Only texts whose hash is small enough for some four times the sample are ranked, so ranking does not grow with the table.
+    shares = _small(texts.groupBy("declared").agg(F.least(F.lit(1.0), 4.0 * p.sample_rows / F.count("*")).alias("share")), p)
+    small = texts.join(shares, "declared").where(F.col("h") / 2.0**64 + 0.5 <= F.col("share"))
+    first = Window.partitionBy("declared").orderBy("h")
+    chosen = _small(small.withColumn("k", F.row_number().over(first)).where(F.col("k") <= p.sample_rows).select("declared", "h", "weight"), p)
+    sample = known.join(chosen, ["declared", "h"]).select("declared", "h", "weight", F.substring("text", 1, p.sample_bytes).alias("text")).distinct().collect()
     languages = tuple(sorted({r["declared"] for r in sample}))
     counts = np.full((1 << p.bits, len(languages)), p.smoothing)
     for r in sample:
-        counts[:, languages.index(r["declared"])] += np.bincount(trigram_cells(r["text"].encode("utf-8", "surrogatepass"), p.bits), minlength=1 << p.bits)
+        counts[:, languages.index(r["declared"])] += r["weight"] * np.bincount(trigram_cells(r["text"].encode("utf-8", "surrogatepass"), p.bits), minlength=1 << p.bits)
     return TextModel(languages, np.log(counts / counts.sum(0)).astype(np.float32))
 
 
