@@ -224,3 +224,8 @@ def identify_pages(pages: DataFrame, params: LanguageParams = PRODUCTION) -> Dat
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     return identify_documents(docs).select("doc_id", "language", "posterior", "text_language", F.col("accepted").alias("kept"))
+
+
+def page_query(spark, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return identify_pages(pages).select("page_id", "language", "posterior", "text_language", F.col("accepted").alias("kept"))

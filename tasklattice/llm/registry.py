@@ -14,6 +14,7 @@ QUERIES = {
     "op7_viterbi_pieces": pieces.query,
     "op8_warc_transactions": warc.query,
     "op9_language_id": language_id.query,
+    "op9_language_id_pages": language_id.page_query,
     "op10_url_filters": url_filters.query,
 }
 
