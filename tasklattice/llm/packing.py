@@ -9,24 +9,27 @@ documents of one length that go to one run are placed at once, so the plan's
 size depends on the sequence length alone, not on the corpus.
 
 Documents get their place from their rank among those of the same length.
-Ranks are counted within (length, bucket) groups, with buckets by a hash of the
-document, so a length that a third of all documents share is spread over
-``buckets`` groups.  Only pieces (a few numbers each) are shuffled; the
-(length, bucket) counts that come to the driver are at most
-``capacity * buckets``, whatever the input's size.
+Ranks are counted within (length, bucket) groups.  Each length is cut into as many
+buckets as its count needs for some ``bucket_rows`` rows in each, and rows are
+dealt to them by their place in the checkpointed table, so neither a common length
+nor a common id makes a large group.  Only pieces (a few numbers each) are
+shuffled; the (length, bucket) counts that come to the driver number at most
+``capacity`` and one for each ``bucket_rows`` rows.
 
 Defined cases: null text is empty and gives the end token alone; documents
 longer than the capacity are cut into pieces of full capacity, the first piece
-taking the remainder; repeated rows are packed each; an empty table gives an
-empty result.  Only the id and text columns are read.
+taking the remainder; repeated rows are packed each; runs of white space, letters
+or signs may have any length; an empty table gives an empty result.  Only the id
+and text columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,7 +45,8 @@ from tasklattice.llm.common import checkpointed, small_batches
 class PackParams:
     capacity: int = 1024
     end_id: int = 2
-    buckets: int = 64
+    #: Rows of one length that are ranked in one group, on average at most.
+    bucket_rows: int = 250_000
     #: Path of the tokenizer file; None stands for the public byte-level BPE of 50k ids.
     tokenizer: str | None = None
 
@@ -57,22 +61,37 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+#: The rank encoder's pattern keeps a stack as deep as a run of white space; longer runs go to the tokenizers library.
+_DEEP = re.compile(r"(?<!\s)\s{50000}")
+
+
 @functools.lru_cache(maxsize=2)
-def encoder(path: str | None):
-    """Encoder of a byte-level BPE file, by the ranks of its vocabulary.
+def encoder(path: str | None) -> Callable[[str], list[int]]:
+    """Text to ids of a byte-level BPE file, by the ranks of its vocabulary.
 
     The ids equal those of the tokenizers library with special strings taken as
     ordinary text, at a fifth of its time.
     """
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
-    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+    path = path or public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = {t["content"] for t in spec.get("added_tokens", ())}
     byte = _byte_of_char()
     ranks = {bytes(byte[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    by_rank = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text: str) -> list[int]:
+        if len(text) >= 50_000 and _DEEP.search(text):
+            whole = Tokenizer.from_file(path)
+            whole.encode_special_tokens = True
+            return whole.encode(text, add_special_tokens=False).ids
+        return by_rank.encode_ordinary(text)
+
+    return encode
 
 
 def token_pieces(docs: DataFrame, p: PackParams = PRODUCTION, with_ids: bool = False) -> DataFrame:
@@ -80,7 +99,7 @@ def token_pieces(docs: DataFrame, p: PackParams = PRODUCTION, with_ids: bool = F
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(p.tokenizer).encode_ordinary
+        encode = encoder(p.tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -192,15 +211,24 @@ def place(pieces: DataFrame, p: PackParams = PRODUCTION) -> DataFrame:
     """``pieces`` (doc_id, piece, length, ...) with sequence_id and offset.  Call it on a checkpointed table."""
     spark = pieces.sparkSession
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    dealt = pieces.select(*names, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(p.buckets)).cast("int").alias("bucket"))
-    counts = dealt.groupBy("length", "bucket").count().toPandas().sort_values(["length", "bucket"])
-    plan = best_fit_plan(counts.groupby("length")["count"].sum().to_dict(), p.capacity)
-    before = counts.groupby("length")["count"].cumsum() - counts["count"]
-    base = np.zeros((p.capacity + 1, p.buckets), np.int64)
-    base[counts["length"], counts["bucket"]] = before
+    total = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    widths = np.zeros(p.capacity + 1, np.int64)
+    for n, count in total.items():
+        widths[n] = -(-count // p.bucket_rows)
+    first_bucket = np.cumsum(widths) - widths
+    width_of = F.get(F.lit(widths.tolist()), F.col("length").cast("int"))
+    first_of = F.get(F.lit(first_bucket.tolist()), F.col("length").cast("int"))
+    dealt = pieces.select(*names, F.monotonically_increasing_id().alias("place"))
+    dealt = dealt.withColumn("bucket", first_of + F.pmod(F.xxhash64("place"), width_of))
+    counts = np.zeros(int(widths.sum()) + 1, np.int64)
+    for r in dealt.groupBy("bucket").count().collect():
+        counts[r["bucket"]] = r["count"]
+    before = np.cumsum(counts) - counts
+    base = before - before[np.repeat(first_bucket, widths).tolist() + [0]]
+    plan = best_fit_plan(total, p.capacity)
     order = np.lexsort((plan.rank, plan.length))
     sent = spark.sparkContext.broadcast((base, [x[order] for x in (plan.length, plan.rank, plan.bin, plan.each, plan.offset)]))
-    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1)
+    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id", "piece", "place")) - 1)
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base, (length, rank, first, each, offset) = sent.value
@@ -208,7 +236,7 @@ def place(pieces: DataFrame, p: PackParams = PRODUCTION) -> DataFrame:
         keys = length * most + rank
         for f in frames:
             n = f["length"].to_numpy()
-            r = base[n, f["bucket"].to_numpy()] + f["rank"].to_numpy()
+            r = base[f["bucket"].to_numpy()] + f["rank"].to_numpy()
             k = np.searchsorted(keys, n * most + r, side="right") - 1
             into = r - rank[k]
             f["sequence_id"] = first[k] + into // each[k]
