@@ -52,34 +52,40 @@ SELECT page_id, octet_length(encode(html)) AS payload_bytes, {base32} AS payload
 FROM p JOIN lead_of USING (html)"""
 
 
+#: Levels that the SQL spells out; the paths of the tables have no more segments.
+URL_LEVELS = 8
+
+
 def url_sql(p: url_filters.UrlParams = url_filters.PRODUCTION) -> str:
     fits = "NULL"
     action = "NULL"
     for r in sorted(p.rules, key=lambda r: (len(r.text), r.action == "block", r.text)):
         cond = f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
         fits, action = f"CASE WHEN {cond} THEN '{r.text}' ELSE {fits} END", f"CASE WHEN {cond} THEN '{r.action}' ELSE {action} END"
-    last = p.max_depth - 1
     steps = []
-    for d in range(p.max_depth):
+    for d in range(URL_LEVELS):
         seg = f"segments[{d + 1}]"
-        steps.append(f"""n{d} AS (SELECT host, template FROM (SELECT host, template, {seg} AS s, sum(n) AS n FROM t{d} WHERE len(segments) > {d} GROUP BY ALL) GROUP BY ALL HAVING count(*) >= {p.variable_children} AND sum(n) < count(*) * {p.rare_child_urls}),
-t{d + 1} AS (SELECT t.* REPLACE (t.template || CASE WHEN len(segments) <= {d} THEN '' ELSE '/' || CASE WHEN v.host IS NOT NULL THEN '*' ELSE {seg} END END AS template) FROM t{d} t LEFT JOIN n{d} v ON v.host = t.host AND v.template = t.template)""")
-    s = p.smoothing
+        unlike = f"abs(blocked / labelled - nb / nl) > {p.merge_z} * sqrt((nb / nl) * (1.0 - nb / nl) * (1.0 / labelled + 1.0 / nl))"
+        steps.append(f"""c{d} AS MATERIALIZED (SELECT host, template, {seg} AS s, count(*) AS c, sum(labelled)::DOUBLE AS labelled, sum(blocked)::DOUBLE AS blocked FROM t{d} WHERE len(segments) > {d} GROUP BY ALL),
+n{d} AS MATERIALIZED (SELECT host, template, sum(labelled)::DOUBLE AS nl, sum(blocked)::DOUBLE AS nb FROM c{d} GROUP BY ALL HAVING count(*) >= {p.variable_children} AND round((ln(sum(c)) - sum(c * ln(c)) / sum(c)) / ln(count(*)), 6) >= {p.evenness}),
+o{d} AS MATERIALIZED (SELECT c.host, c.template, c.s FROM c{d} c JOIN n{d} n ON n.host = c.host AND n.template = c.template WHERE labelled >= {p.own_labels} AND {unlike}),
+t{d + 1} AS MATERIALIZED (SELECT t.* REPLACE (t.template || CASE WHEN len(segments) <= {d} THEN '' ELSE '/' || CASE WHEN n.host IS NOT NULL AND o.host IS NULL THEN '*' ELSE {seg} END END AS template)
+  FROM t{d} t LEFT JOIN n{d} n ON n.host = t.host AND n.template = t.template LEFT JOIN o{d} o ON o.host = t.host AND o.template = t.template AND o.s = {seg})""")
+    s, last = p.smoothing, f"t{URL_LEVELS}"
+    unlike = f"{p.merge_z} * sqrt((pb / pl) * (1.0 - pb / pl) * (1.0 / labelled + 1.0 / pl))"
     return f"""WITH rows AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 fit AS (SELECT *, {fits} AS rule, {action} AS action FROM rows),
-urls AS (SELECT host, path, count(*) AS n, count(action) AS labelled, count(CASE WHEN action = 'block' THEN 1 END) AS blocked FROM fit GROUP BY 1, 2),
-t0 AS (SELECT *, '' AS template, list_transform(CASE WHEN len(parts) > {p.max_depth} THEN list_append(parts[1:{last}], '**') ELSE parts END, lambda x: regexp_replace(x, '[0-9]+', '#', 'g')) AS segments FROM (SELECT *, string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM urls)),
+t0 AS MATERIALIZED (SELECT host, path, (action IS NOT NULL)::INT AS labelled, coalesce(action = 'block', false)::INT AS blocked, '' AS template, string_split(replace(regexp_replace(path, '^/|/$', '', 'g'), '*', '%2A'), '/') AS segments FROM (SELECT DISTINCT host, path, action FROM fit)),
 {", ".join(steps)},
-templates AS (SELECT host, template, len(segments) AS depth, sum(labelled) AS labelled, sum(blocked) AS blocked, coalesce(sum(blocked) / nullif(sum(labelled), 0), -1) AS rate FROM t{p.max_depth} GROUP BY ALL),
-lagged AS (SELECT *, lag(labelled) OVER w AS l0, lag(blocked) OVER w AS b0, lag(rate) OVER w AS r0 FROM templates WINDOW w AS (PARTITION BY host, depth ORDER BY rate, template)),
-cut AS (SELECT *, CASE WHEN r0 IS NULL THEN 1 WHEN rate < 0 AND r0 < 0 THEN 0 WHEN rate < 0 OR r0 < 0 THEN 1
-  WHEN rate - r0 <= {p.merge_z} * sqrt(((blocked + b0) / (labelled + l0)) * (1 - (blocked + b0) / (labelled + l0)) * (1 / labelled + 1 / l0)) THEN 0 ELSE 1 END AS new FROM lagged),
-branched AS (SELECT *, sum(new) OVER (PARTITION BY host, depth ORDER BY rate, template ROWS UNBOUNDED PRECEDING) AS branch FROM cut),
+templates AS MATERIALIZED (SELECT host, template, regexp_replace(template, '/[^/]*$', '') AS parent, count(*)::DOUBLE AS n, sum(labelled)::DOUBLE AS labelled, sum(blocked)::DOUBLE AS blocked FROM {last} GROUP BY ALL),
 overall AS (SELECT (coalesce(sum(blocked), 0) + 1.0::DOUBLE) / (coalesce(sum(labelled), 0) + 2.0::DOUBLE) AS o FROM templates),
-hosts AS (SELECT *, (sum(blocked) OVER (PARTITION BY host) + {s}::DOUBLE * o) / (sum(labelled) OVER (PARTITION BY host) + {s}::DOUBLE) AS hp FROM branched, overall),
-judged AS (SELECT host, template, depth, round((sum(blocked) OVER g + {s}::DOUBLE * hp) / (sum(labelled) OVER g + {s}::DOUBLE), 9) AS purity FROM hosts WINDOW g AS (PARTITION BY host, depth, branch))
-SELECT page_id, f.host, f.path, rule, coalesce(action, CASE WHEN purity >= {p.reject_purity} THEN 'block' ELSE 'allow' END) AS verdict, j.template, purity
-FROM fit f JOIN t{p.max_depth} t ON t.host = f.host AND t.path = f.path JOIN judged j ON j.host = t.host AND j.template = t.template AND j.depth = len(t.segments)"""
+hosts AS (SELECT host, (sum(blocked) + any_value(o) * ({s}::DOUBLE + sum(n) - sum(labelled))) / (sum(n) + {s}::DOUBLE) AS hp FROM templates, overall GROUP BY 1),
+siblings AS (SELECT host, parent, sum(labelled) AS pl, sum(blocked) AS pb FROM templates WHERE labelled > 0 GROUP BY 1, 2),
+placed AS MATERIALIZED (SELECT host, parent, template, n, labelled, blocked, CASE WHEN labelled = 0 THEN 'none' WHEN blocked / labelled - pb / pl > {unlike} THEN 'above' WHEN pb / pl - blocked / labelled > {unlike} THEN 'below' ELSE 'like' END AS branch FROM templates LEFT JOIN siblings USING (host, parent)),
+branches AS (SELECT host, parent, branch, (sum(blocked) + any_value(hp) * ({s}::DOUBLE + sum(n) - sum(labelled))) / (sum(n) + {s}::DOUBLE) AS purity FROM placed JOIN hosts USING (host) WHERE labelled > 0 GROUP BY ALL),
+judged AS MATERIALIZED (SELECT host, template, branch <> 'none' AS holds, round(coalesce(purity, hp), 9) AS purity FROM placed LEFT JOIN branches USING (host, parent, branch) JOIN hosts USING (host))
+SELECT page_id, f.host, f.path, rule, coalesce(action, CASE WHEN holds AND purity >= {p.reject_purity} THEN 'block' ELSE 'allow' END) AS verdict, j.template, purity
+FROM fit f JOIN {last} t ON t.host = f.host AND t.path = f.path JOIN judged j ON j.host = t.host AND j.template = t.template"""
 
 
 SQL = {

@@ -1,30 +1,44 @@
 """URL filters from rules and a path-template tree, in DataFrame expressions only.
 
 Explicit rules (host suffix and path prefix, longest wins) judge the urls they
-fit and so label them.  The rest is judged by templates: per host, path segments
-are generalised level by level (digits to ``#``, and any node with many rare
-children to ``*``), sibling templates whose blocked shares do not differ
-significantly are merged, and a merged template is rejected when its blocked
-share, smoothed towards its host and the host towards all urls, reaches
-``reject_purity``.
-
-Urls are first aggregated to distinct (host, path) pairs, so a hot host or a hot
-url is counted map-side.  The nodes with wildcards and the templates' shares are
-small tables, checkpointed; up to ``broadcast_rows`` rows they are broadcast, so
-that the pages themselves are never shuffled, and beyond that they are joined by
-shuffle.  Only one row of totals comes to the driver.
+fit and so label them.  The rest is judged by templates:
+
+1. Each host's distinct paths form a tree, one level for each segment, and the
+   tree is walked level by level until the paths end.  A node is variable when it
+   has ``variable_children`` children at least and its paths are spread over them
+   evenly (entropy of at least ``evenness`` of its greatest value); its children
+   become one wildcard ``*``.  A child whose blocked share differs significantly
+   from that of the whole node keeps its name.
+2. Sibling templates, those below one parent, are merged into three branches:
+   blocked share like that of all siblings together, significantly above it, and
+   significantly below it.  Templates without labels are merged with none.
+3. A branch's purity is its blocked share, with each url that no rule labels, and
+   ``smoothing`` more, counted at its host's purity, and in the same way the
+   host's at the share of all labels.  So one-sided labels weigh as much as the
+   part of the branch that they cover.  A branch that holds labels is rejected
+   when its purity reaches ``reject_purity``.
+
+All statistics count distinct urls and are shares, so neither a hot url nor a
+larger crawl of the same sites changes a verdict.  Urls are first aggregated to
+distinct (host, path) pairs, map-side; each level is an aggregation and a join
+with the level's variable nodes, and a path that is alone below its node leaves
+the walk at once.  Tables of at most ``broadcast_rows`` rows are broadcast.
+Beyond that, joins are by shuffle with the keys dealt over ``salts`` parts, and
+urls of more than ``hot_rows`` rows are dealt over parts of that size.  Only
+counts and maxima come to the driver.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and is
-allowed unless a rule fits; repeated rows are judged alike; an empty table gives
-an empty result; segments past ``max_depth`` form one last segment ``**``.
-Other input columns pass through, those with a result's name are replaced.
+allowed unless a rule fits; a trailing slash makes no difference to the template;
+a segment's own ``*`` is written ``%2A``; repeated rows are judged alike; an empty
+table gives an empty result.  Other input columns pass through, those with a
+result's name are replaced.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tasklattice.llm.common import ascii_lower, checkpointed
@@ -54,17 +68,20 @@ RULES = (
 @dataclass(frozen=True)
 class UrlParams:
     rules: tuple[Rule, ...] = field(default=RULES)
-    max_depth: int = 4
-    #: A node with at least so many distinct children, of few urls each, is variable.
+    #: A node with at least so many children, evenly used, is variable.
     variable_children: int = 12
-    rare_child_urls: float = 4.0
-    #: Blocked shares of siblings within so many standard errors are merged.
+    #: Entropy of the paths over the children, as a share of its greatest value.
+    evenness: float = 0.6
+    #: Labels that a child needs to keep its name below a variable node.
+    own_labels: int = 5
+    #: Blocked shares within so many standard errors are alike.
     merge_z: float = 1.96
     #: Pseudo-counts of the parent's share in a smoothed share.
     smoothing: float = 8.0
     reject_purity: float = 0.8
-    #: Tables of nodes and templates are broadcast up to so many rows.
     broadcast_rows: int = 50_000
+    salts: int = 16
+    hot_rows: int = 500_000
 
 
 PRODUCTION = UrlParams()
@@ -87,81 +104,135 @@ def matching_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column
     return fits
 
 
-def _bounded(df: DataFrame, p: UrlParams) -> DataFrame:
-    """A checkpointed table, broadcast if its row count is within the bound and joined by shuffle beyond it."""
-    df = checkpointed(df)
-    return F.broadcast(df) if df.count() <= p.broadcast_rows else df
-
-
-def _segments(path: Column, p: UrlParams) -> Column:
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    parts = F.when(F.size(parts) > p.max_depth, F.concat(F.slice(parts, 1, p.max_depth - 1), F.array(F.lit("**")))).otherwise(parts)
-    return F.transform(parts, lambda s: F.regexp_replace(s, "[0-9]+", "#"))
-
-
-def _step(df: DataFrame, depth: int, variable: DataFrame) -> DataFrame:
-    """Extend ``template`` by the segment at ``depth``, or by a wildcard below a variable node."""
-    seg = F.get("segments", F.lit(depth))
-    joined = df.join(variable, ["host", "template"], "left")
-    return joined.withColumn("template", F.concat("template", F.when(seg.isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("variable"), "*").otherwise(seg))))).drop("variable")
-
-
-def variable_nodes(urls: DataFrame, p: UrlParams) -> list[DataFrame]:
-    """For each depth, the (host, template) nodes whose children are many and rare."""
-    df, levels = urls.withColumns({"segments": _segments(F.col("path"), p), "template": F.lit("")}), []
-    for d in range(p.max_depth):
-        children = df.withColumn("segment", F.get("segments", F.lit(d))).where("segment is not null").groupBy("host", "template", "segment").agg(F.sum("n").alias("n"))
-        nodes = children.groupBy("host", "template").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
-        found = nodes.where((F.col("k") >= p.variable_children) & (F.col("n") < F.col("k") * p.rare_child_urls))
-        levels.append(_bounded(found.select("host", "template", F.lit(True).alias("variable")), p))
-        df = _step(df, d, levels[-1])
-    return levels
-
-
-def with_template(df: DataFrame, levels: list[DataFrame], p: UrlParams) -> DataFrame:
-    """``df`` (host, path, ...) with template and depth."""
-    df = df.withColumns({"segments": _segments(F.col("path"), p), "template": F.lit("")})
-    for d, variable in enumerate(levels):
-        df = _step(df, d, variable)
-    return df.withColumn("depth", F.size("segments")).drop("segments")
-
-
-def template_purity(templates: DataFrame, p: UrlParams) -> DataFrame:
-    """(host, template, depth, purity) of checkpointed ``templates`` (host, template, depth, n, labelled, blocked)."""
-    rate = F.coalesce(F.col("blocked") / F.nullif("labelled", F.lit(0)), F.lit(-1.0))
-    order = Window.partitionBy("host", "depth").orderBy("rate", "template")
-    before = {c: F.lag(c).over(order) for c in ("labelled", "blocked", "rate")}
-    pooled = (F.col("blocked") + before["blocked"]) / (F.col("labelled") + before["labelled"])
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / before["labelled"]))
-    new = F.when(before["rate"].isNull(), 1).when((F.col("rate") < 0) & (before["rate"] < 0), 0).when((F.col("rate") < 0) | (before["rate"] < 0), 1)
-    new = new.when(F.col("rate") - before["rate"] <= p.merge_z * error, 0).otherwise(1)
-    branched = templates.withColumn("rate", rate).withColumn("new", new).withColumn("branch", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    all_urls = templates.agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")).first()
-    overall = ((all_urls["blocked"] or 0) + 1.0) / ((all_urls["labelled"] or 0) + 2.0)
-    by_host, by_branch = Window.partitionBy("host"), Window.partitionBy("host", "depth", "branch")
-    host_purity = (F.sum("blocked").over(by_host) + p.smoothing * overall) / (F.sum("labelled").over(by_host) + p.smoothing)
-    purity = (F.sum("blocked").over(by_branch) + p.smoothing * F.col("host_purity")) / (F.sum("labelled").over(by_branch) + p.smoothing)
-    return branched.withColumn("host_purity", host_purity).select("host", "template", "depth", F.round(purity, 9).alias("purity"))
+def _held(df: DataFrame, few: bool) -> DataFrame:
+    """A table used more than once: checkpointed unless it comes from ``few`` urls."""
+    return df if few else checkpointed(df)
+
+
+def _looked_up(df: DataFrame, table: DataFrame, keys: list[str], p: UrlParams, few: bool) -> DataFrame:
+    """``df`` left joined with ``table``, which has one row for each of its keys at most.
+
+    ``few`` says that the urls themselves, and so all tables of nodes, are within
+    the bound for broadcasts; otherwise the checkpointed ``table`` is counted.
+    """
+    if few or table.count() <= p.broadcast_rows:
+        return df.join(F.broadcast(table), keys, "left")
+    dealt = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
+    salted = df.withColumn("salt", F.pmod(F.xxhash64(*df.columns), F.lit(p.salts)).cast("int"))
+    return salted.join(dealt, [*keys, "salt"], "left").drop("salt")
+
+
+def _unlike(part: tuple[Column, Column], whole: tuple[Column, Column], p: UrlParams) -> tuple[Column, Column]:
+    """Whether the blocked share of ``part`` (labelled, blocked) lies significantly above, and below, that of ``whole``."""
+    (n, b), (all_n, all_b) = part, whole
+    share = all_b / all_n
+    error = F.lit(p.merge_z) * F.sqrt(share * (F.lit(1.0) - share) * (F.lit(1.0) / n + F.lit(1.0) / all_n))
+    return b / n - share > error, share - b / n > error
+
+
+def _template_step(active: DataFrame, depth: int, p: UrlParams, few: bool) -> DataFrame:
+    """``active`` (host, path, segments, template, labelled, blocked) with ``template`` one segment longer, and ``alone``."""
+    node = ["host", "template"]
+    active = active.withColumn("segment", F.get("segments", F.lit(depth)))
+    children = active.groupBy(*node, "segment").agg(F.count("*").alias("c"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    children = _held(children, few)
+    sums = [F.count("*").alias("k"), F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("s"), F.sum("labelled").alias("nl"), F.sum("blocked").alias("nb")]
+    spread = F.round((F.log("n") - F.col("s") / F.col("n")) / F.log("k"), 6)
+    nodes = children.groupBy(*node).agg(*sums)
+    nodes = nodes.select(*node, "nl", "nb", (F.col("n") == 1).alias("alone"), ((F.col("k") >= p.variable_children) & (spread >= p.evenness)).alias("variable"))
+    nodes = _held(nodes.where("alone or variable"), few)
+    above, below = _unlike((F.col("labelled"), F.col("blocked")), (F.col("nl"), F.col("nb")), p)
+    own = _looked_up(children.where(F.col("labelled") >= p.own_labels), nodes.where("variable").select(*node, "nl", "nb"), node, p, few)
+    own = _held(own.where((F.col("nl") > 0) & (above | below)).select(*node, "segment", F.lit(True).alias("own")), few)
+    step = _looked_up(_looked_up(active, nodes.select(*node, "alone", "variable"), node, p, few), own, [*node, "segment"], p, few)
+    wild = F.coalesce("variable", F.lit(False)) & F.col("own").isNull()
+    alone = F.coalesce("alone", F.lit(False))
+    rest = F.array_join(F.slice("segments", depth + 1, F.size("segments")), "/")
+    name = F.when(wild, "*").when(alone, rest).otherwise(F.col("segment"))
+    return step.select("host", "path", "segments", "labelled", "blocked", F.concat("template", F.lit("/"), name).alias("template"), alone.alias("alone"))
+
+
+def templates_of(urls: DataFrame, p: UrlParams = PRODUCTION) -> DataFrame:
+    """``urls`` (host, path, labelled, blocked; distinct) with their template."""
+    bare = F.replace(F.regexp_replace("path", "^/|/$", ""), F.lit("*"), F.lit("%2A"))
+    active = checkpointed(urls.select("host", "path", "labelled", "blocked", F.split(bare, "/").alias("segments"), F.lit("").alias("template")))
+    levels, n = active.agg(F.max(F.size("segments")), F.count("*")).first()
+    few = n <= p.broadcast_rows
+    names = ["host", "path", "labelled", "blocked", "template"]
+    done = active.select(*names).limit(0)
+    for depth in range(levels or 0):
+        step = checkpointed(_template_step(active, depth, p, few))
+        ended = F.col("alone") | (F.size("segments") == depth + 1)
+        done = done.union(step.where(ended).select(*names))
+        active = step.where(~ended).drop("alone")
+        if depth + 1 < levels and active.isEmpty():
+            break
+    return done
+
+
+def template_purity(urls: DataFrame, p: UrlParams = PRODUCTION) -> DataFrame:
+    """(host, template, holds, purity) for ``urls`` (host, template, labelled, blocked); ``holds``: its branch has labels."""
+    sums = [F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")]
+    parent = F.regexp_replace("template", "/[^/]*$", "")
+    templates = checkpointed(urls.withColumn("n", F.lit(1)).groupBy("host", "template").agg(*sums).withColumn("parent", parent))
+    total = templates.agg(*sums, F.count("*").alias("rows")).first()
+    few = total["rows"] <= p.broadcast_rows
+    overall = ((total["blocked"] or 0) + 1.0) / ((total["labelled"] or 0) + 2.0)
+
+    def smoothed(towards: Column) -> Column:
+        return (F.col("blocked") + towards * (F.lit(p.smoothing) + F.col("n") - F.col("labelled"))) / (F.col("n") + F.lit(p.smoothing))
+
+    hosts = _held(templates.groupBy("host").agg(*sums).select("host", smoothed(F.lit(overall)).alias("host_purity")), few)
+    siblings = _held(templates.where("labelled > 0").groupBy("host", "parent").agg(F.sum("labelled").alias("pl"), F.sum("blocked").alias("pb")), few)
+    above, below = _unlike((F.col("labelled"), F.col("blocked")), (F.col("pl"), F.col("pb")), p)
+    branch = F.when(F.col("labelled") == 0, "none").when(above, "above").when(below, "below").otherwise("like")
+    placed = _looked_up(templates, siblings, ["host", "parent"], p, few).select("host", "template", "parent", "n", "labelled", "blocked", branch.alias("branch"))
+    placed = _held(placed, few)
+    branches = _looked_up(placed.where("labelled > 0").groupBy("host", "parent", "branch").agg(*sums), hosts, ["host"], p, few)
+    branches = _held(branches.select("host", "parent", "branch", smoothed(F.col("host_purity")).alias("purity")), few)
+    out = _looked_up(placed.select("host", "template", "parent", "branch"), branches, ["host", "parent", "branch"], p, few)
+    out = _looked_up(out, hosts, ["host"], p, few)
+    return out.select("host", "template", (F.col("branch") != "none").alias("holds"), F.round(F.coalesce("purity", "host_purity"), 9).alias("purity"))
+
+
+def judge_urls(rows: DataFrame, p: UrlParams = PRODUCTION) -> tuple[DataFrame, DataFrame]:
+    """(judged, urls) for ``rows`` (host, path, fit): judged (host, path, template, purity, judged), urls (host, path, n, ...)."""
+    action = F.first("fit.action")
+    urls = rows.groupBy("host", "path").agg(F.count("*").alias("n"), action.alias("action"))
+    urls = checkpointed(urls.select("host", "path", "n", F.col("action").isNotNull().cast("int").alias("labelled"), F.coalesce(F.col("action") == "block", F.lit(False)).cast("int").alias("blocked")))
+    placed = templates_of(urls, p)
+    purity = checkpointed(template_purity(placed, p))
+    judged = _looked_up(placed.select("host", "path", "template"), purity, ["host", "template"], p, few=False)
+    verdict = F.when(F.col("holds") & (F.col("purity") >= p.reject_purity), "block").otherwise("allow")
+    return checkpointed(judged.select("host", "path", "template", "purity", verdict.alias("judged"))), urls
+
+
+def _with_url(rows: DataFrame, judged: DataFrame, urls: DataFrame, p: UrlParams) -> DataFrame:
+    """``rows`` joined with their urls; a url of many rows is dealt over several parts."""
+    if judged.count() <= p.broadcast_rows:
+        return rows.join(F.broadcast(judged), ["host", "path"], "left")
+    # At most one hot url for each ``hot_rows`` rows, so this table is broadcast whatever it holds.
+    hot = F.broadcast(checkpointed(urls.where(F.col("n") > p.hot_rows).select("host", "path", F.ceil(F.col("n") / p.hot_rows).cast("int").alias("parts"))))
+    one = F.coalesce("parts", F.lit(1))
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), one).cast("int")
+    dealt = judged.join(hot, ["host", "path"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), one - 1))).drop("parts")
+    return rows.join(hot, ["host", "path"], "left").withColumn("part", part).drop("parts").join(dealt, ["host", "path", "part"], "left").drop("part")
 
 
 def filter_urls(pages: DataFrame, url_col: str = "url", params: UrlParams = PRODUCTION) -> DataFrame:
     """``pages`` with host, path, rule, template, purity and verdict (allow or block)."""
     p = params
     added = ["host", "path", "rule", "template", "purity", "verdict"]
+    names = [c for c in pages.columns if c.lower() not in added]
     url = F.col(f"`{url_col}`")
-    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in added]
     host, path = host_of(url), path_of(url)
-    rows = pages.select(F.struct(F.lit(0), *kept).alias("row"), host.alias("host"), path.alias("path")).withColumn("fit", matching_rule(F.col("host"), F.col("path"), p.rules))
-    n, fits = F.count("*"), F.col("fit.action")
-    labelled, blocked = F.count(fits), F.count_if(fits == "block")
-    urls = checkpointed(rows.groupBy("host", "path").agg(n.alias("n"), labelled.alias("labelled"), blocked.alias("blocked")))
-    levels = variable_nodes(urls, p)
-    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
-    templates = checkpointed(with_template(urls, levels, p).groupBy("host", "template", "depth").agg(*sums))
-    judged = with_template(rows, levels, p).join(_bounded(template_purity(templates, p), p), ["host", "template", "depth"], "left")
-    verdict = F.coalesce(F.col("fit.action"), F.when(F.col("purity") >= p.reject_purity, "block").otherwise("allow"))
-    names = [c for c in pages.columns if c.lower() not in added]
-    return judged.select(*[F.col("row").getField(c).alias(c) for c in names], "host", "path", F.col("fit.rule").alias("rule"), "template", "purity", verdict.alias("verdict"))
+    fit = matching_rule(F.col("host"), F.col("path"), p.rules).alias("fit")
+    plain = pages.select(host.alias("host"), path.alias("path")).select("host", "path", fit)
+    judged, urls = judge_urls(plain, p)
+    rows = pages.select(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in names]).alias("row"), host.alias("host"), path.alias("path"))
+    rows = _with_url(rows, judged, urls, p).select("row", "host", "path", "template", "purity", "judged", fit)
+    verdict = F.coalesce(F.col("fit.action"), F.col("judged"))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in names], "host", "path", F.col("fit.rule").alias("rule"), "template", "purity", verdict.alias("verdict"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
