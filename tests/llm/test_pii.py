@@ -89,9 +89,75 @@ def test_patterns_find_unseen_identifiers(spark):
     assert found[101] == [] and found[301] == []
 
 
+def plain_scores(rows, p):
+    """Pattern scores over (pattern, value, seed) triples, in plain Python."""
+    edges = {(a, v) for a, v, _ in rows}
+    seeds = {v for _, v, s in rows if s}
+    known = dict.fromkeys(seeds, 1.0)
+    for k in range(p.rounds):
+        scored = {}
+        for a in {a for a, _ in edges}:
+            own = [known.get(v, 0.0) for b, v in edges if b == a]
+            if sum(c >= p.min_confidence for c in own) >= p.min_support:
+                scored[a] = round(sum(own) / (len(own) + p.smoothing), 9)
+        if k + 1 < p.rounds:
+            known = dict.fromkeys(seeds, 1.0)
+            for v in {v for a, v in edges if a in scored} - seeds:
+                doubt = 1.0
+                for a, w in edges:
+                    if w == v and a in scored:
+                        doubt *= 1 - p.trust * scored[a]
+                known[v] = round(1 - doubt, 9)
+    return scored
+
+
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_scores_equal_a_plain_walk_and_new_patterns_are_induced(spark, small):
+    p = pii.PiiParams(broadcast_rows=small, salts=3)
+    rows = [(f"card {k}", f"c{k}", 1.0) for k in range(3)]
+    rows += [("pay", f"c{k}", 1.0) for k in range(30)] + [("pay", f"u{k}", 0.0) for k in range(4)]
+    rows += [("due", f"u{k}", 0.0) for k in range(4)] + [("due", "w", 0.0), ("the", "w", 0.0), ("the", "7", 0.0)]
+    df = spark.createDataFrame([([a], v, s) for a, v, s in rows], "patterns array<string>, value string, seed double")
+    found = {r.pattern: r.score for r in pii.pattern_scores(df, p).collect()}
+    expected = plain_scores(rows, p)
+    assert found.keys() == expected.keys() == {"pay", "due"}
+    assert all(abs(found[a] - expected[a]) < 1e-8 for a in expected)
+
+
+def test_marks_forms_and_labels(spark):
+    good = ["4012429011158754", "4712808554861838", "4272683025356771", "4727926364394221", "4018709761430345"]
+    keys = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(6)]
+    rows = [(k, f"charged to card {c}, thanks") for k, c in enumerate(good)] + [(10 + k, f'api token = "{x}" here') for k, x in enumerate(keys)]
+    rows += [(30, "charged to card (4012429011158755)."), (31, 'charged to card "4012 4290 1115 8755"!'), (32, "api token = zZ" + "9a" * 20 + ";"), (33, "note: nothing here = fine"), (None, "charged to card 4012429011158755?")]
+    found = {r.doc_id: [(s.kind, s.value) for s in r.pii] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[30] == [("id", "4012429011158755")] and found[31] == [("id", "4012 4290 1115 8755")] and found[None] == found[30]
+    assert found[10] == [("id", keys[0])] and found[32] == [("id", "zZ" + "9a" * 20)] and found[33] == []
+    assert found[0] == [("card", good[0])]
+
+
+def test_many_spans_in_one_text(spark):
+    """Masking and finding take time in proportion to the spans."""
+    import time
+
+    text = "é " + " ".join(f"m{k}@h.org 10.0.{k % 256}.{k % 9} 😀 +1 (555) 555-{k % 9000 + 1000} n{k}" for k in range(20_000))
+    took = []
+    for n in (4, 1):
+        docs = spark.createDataFrame([(1, text[: len(text) // n])], "doc_id long, text string")
+        start = time.perf_counter()
+        row = pii.mask(pii.find_personal_data(docs).withColumn("old", F.col("text"))).collect()[0]
+        took.append(time.perf_counter() - start)
+    assert took[1] < 8 * took[0] + 10
+    out, at = [], 0
+    for a, b, kind in sorted((s.start, -s.end, s.kind) for s in row.pii):
+        if a >= at:
+            out += [row.old[at:a], f"[{kind.upper()}]"]
+        at = max(at, -b)
+    assert row.text == "".join(out) + row.old[at:]
+
+
 def test_masking(spark):
     docs = spark.createDataFrame([(1, "mail a@b.org or 1.2.3.4, +1 (383) 555-6083!"), (2, "nothing"), (3, "4012429011158754"), (4, "a@b.org@c.de")], "doc_id long, text string")
-    out = {r.doc_id: r.m for r in pii.find_personal_data(docs).select("doc_id", pii.masked(F.col("text"), F.col("pii")).alias("m")).collect()}
+    out = {r.doc_id: r.text for r in pii.mask(pii.find_personal_data(docs)).collect()}
     assert out == {1: "mail [EMAIL] or [IP], [PHONE]!", 2: "nothing", 3: "[CARD]", 4: "[EMAIL]@c.de"}
 
 
