@@ -45,7 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts the kind in brackets in place of each span of personal data."""
-    found = pii.find_personal_data(docs).withColumn("text", pii.masked(F.col("text"), F.col("pii")))
+    found = pii.mask(pii.find_personal_data(docs))
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
