@@ -14,8 +14,10 @@ def _text(s: str) -> str:
 def quality_sql(p: quality_rules.QualityParams = quality_rules.PRODUCTION) -> str:
     q = quality_rules
     n_line = f"len(regexp_extract_all(line, '{WORD}'))"
-    rule = f"""CASE WHEN len(regexp_extract_all(line, {_text(q.SEPARATORS)})) >= {p.min_separators} THEN 'navigation'
-      WHEN regexp_matches(lower(line), {_text("|".join(q.BOILERPLATE))}) THEN 'boilerplate'
+    separators = f"len(regexp_extract_all(line, '{q.SEPARATORS}'))"
+    phrases = f"len(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_text('|'.join(q.BOILERPLATE))}))"
+    rule = f"""CASE WHEN {separators} >= {p.min_separators} AND {separators} * 100 >= {n_line} * {p.min_separator_percent} THEN 'navigation'
+      WHEN {phrases} > 0 AND {n_line} <= {phrases} * {p.phrase_words} THEN 'boilerplate'
       WHEN len(regexp_extract_all(line, {_text(q.CLUTTER)})) * 100 >= {n_line} * {p.max_clutter_percent} THEN 'punctuation'
       WHEN {n_line} < {p.short_line_words} AND NOT regexp_matches(line, {_text(q.CLOSERS + r"[\x20\x09-\x0D]*$")}) THEN 'punctuation' END"""
     return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),

@@ -41,6 +41,7 @@ def test_lines_are_judged_and_removed(spark):
         3: "\n".join(["a | b | c | d | e | f | g"] * 3 + ["All rights reserved by the owner of this fine site."] * 2 + [body[:120] + "."]),
         4: " ".join(f"WORD{k}!!" for k in range(60)),
         5: body + "\nMenu",
+        6: " ".join(f"clean{k} prose" for k in range(300)) + " • and a | list › of · three, our privacy policy and all rights reserved.",
     }
     rows = {r.doc_id: r for r in q.apply_quality_rules(spark.createDataFrame(list(cases.items()), "doc_id long, text string")).collect()}
     assert rows[1].kept and rows[1].clean_text == body
@@ -48,6 +49,7 @@ def test_lines_are_judged_and_removed(spark):
     assert not rows[3].kept and {x.rule for x in rows[3].removed} == {"navigation", "boilerplate"}
     assert not rows[4].kept and rows[4].removed[0].rule == "punctuation"
     assert rows[5].kept and rows[5].lost_chars == 4
+    assert rows[6].kept and rows[6].n_removed_lines == 0
 
 
 def test_clashing_columns_and_empty_table(spark):
