@@ -13,9 +13,11 @@ aggregates by host, domain, declared language and suffix (map-side first, so a
 hot host is a few partial counts).  Tables of at most ``broadcast_rows`` rows
 are broadcast, larger ones joined by shuffle.
 
-The trigram models are fitted on a bounded sample: per language at most
-``sample_rows`` distinct texts that declare it, the ones with the smallest hashes,
-and the first ``sample_bytes`` of each.  A text of c copies weighs 1 + log2(c).  Scoring reads whole texts.
+The trigram models are fitted on a bounded sample: the ``max_languages`` declared
+values with most distinct texts (ties by name) are the languages, and of each at
+most ``sample_rows`` distinct texts, ``sample_total`` over all, the ones with the
+smallest hashes, and the first ``sample_bytes`` of each.  A text of c copies weighs
+1 + log2(c).  Scoring reads whole texts.
 
 A row is rejected when its text has letters too few to judge, or when the best
 language's posterior is below ``min_posterior``.
@@ -44,7 +46,9 @@ from tasklattice.llm.common import checkpointed, fresh_name, sealed, small_batch
 
 @dataclass(frozen=True)
 class LanguageParams:
+    max_languages: int = 100
     sample_rows: int = 400
+    sample_total: int = 20_000
     sample_bytes: int = 4000
     #: Bits of the trigram hash.
     bits: int = 15
@@ -99,11 +103,15 @@ def fit(rows: DataFrame, p: LanguageParams = PRODUCTION) -> TextModel:
     known = rows.where("declared is not null and declared <> '' and text is not null").withColumn("h", F.xxhash64("text"))
     # Copies share one place, however many there are, so they neither crowd out other texts nor thin a language's share.
     texts = checkpointed(known.groupBy("declared", "h").agg((1.0 + F.log2(F.count("*"))).alias("weight")))
+    most = texts.groupBy("declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "declared").limit(p.max_languages).collect()
+    rows_each = min(p.sample_rows, p.sample_total // max(len(most), 1))
     # Only texts whose hash is small enough for some four times the sample are ranked, so ranking does not grow with the table.
-    shares = _small(texts.groupBy("declared").agg(F.least(F.lit(1.0), 4.0 * p.sample_rows / F.count("*")).alias("share")), p)
+    shares = [(r["declared"], min(1.0, 4.0 * rows_each / r["n"])) for r in most]
+    shares = F.broadcast(rows.sparkSession.createDataFrame(shares, "declared string, share double"))
     small = texts.join(shares, "declared").where(F.col("h") / 2.0**64 + 0.5 <= F.col("share"))
     first = Window.partitionBy("declared").orderBy("h")
-    chosen = _small(small.withColumn("k", F.row_number().over(first)).where(F.col("k") <= p.sample_rows).select("declared", "h", "weight"), p)
+    # At most ``sample_total`` rows of three numbers and a name, so it is broadcast whatever the table's size.
+    chosen = F.broadcast(checkpointed(small.withColumn("k", F.row_number().over(first)).where(F.col("k") <= rows_each).select("declared", "h", "weight")))
     sample = known.join(chosen, ["declared", "h"]).select("declared", "h", "weight", F.substring("text", 1, p.sample_bytes).alias("text")).distinct().collect()
     languages = tuple(sorted({r["declared"] for r in sample}))
     counts = np.full((1 << p.bits, len(languages)), p.smoothing)
@@ -128,6 +136,11 @@ def declared_in(html: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(html, r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1)), F.lit(""))
 
 
+def text_in(html: Column) -> Column:
+    """What stands between tags, without scripts, styles and comments; unclosed ones end with the page."""
+    return F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)", " "), r"<[^<>]*>", " ")
+
+
 def _small(df: DataFrame, p: LanguageParams) -> DataFrame:
     df = checkpointed(df)
     return F.broadcast(df) if df.count() <= p.broadcast_rows else df
@@ -216,7 +229,7 @@ def identify_documents(docs: DataFrame, params: LanguageParams = PRODUCTION) ->
 
 def identify_pages(pages: DataFrame, params: LanguageParams = PRODUCTION) -> DataFrame:
     """Of pages (url, html): the text between tags, the html element's language, the address and its host."""
-    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")
+    text = text_in(F.col("html"))
     host = F.regexp_extract("url", "://([^/?#:]*)", 1)
     return identify(pages, text, declared=declared_in(F.col("html")), address=F.col("url"), host=host, params=params)
 

@@ -24,8 +24,8 @@ candidate pairs.  Each stage's result is checkpointed in the shared folder.
 Defined cases: null or empty text, or text without words: no shingles, alone in
 its group.  Fewer words than ``shingle_words``: the whole sequence is the one
 shingle.  Rows with equal doc_id and equal texts get equal results, one output
-row each; where a doc_id repeats with other texts, each row is grouped by its
-own text.  A null doc_id is linked with nothing and kept, its component null.
+row each; rows that share a doc_id and differ in text are one node of the graph,
+linked with all that any of their texts is linked with.  A null doc_id is linked with nothing and kept, its component null.
 An empty table gives an empty result.  Only doc_id and text are read, so other
 columns of the input cannot clash.
 """

@@ -72,3 +72,10 @@ def test_stages_take_edge_cases_and_empty_tables(spark, sf, name):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).where("length > 1024").count() == 0
+
+
+def test_of_repeated_rows_one_stays(spark, sf):
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, text, "en", "s", 1)] * 3 + [(2, text, "en", "s", 1), (None, "a b", "en", "s", 1), (None, "a b", "en", "s", 1), (3, None, None, None, None), (3, None, None, None, None)]
+    out = stage("minhash_dedup")(spark, spark.createDataFrame(rows, edge.SCHEMA), sf).collect()
+    assert sorted((r.doc_id is None, r.doc_id) for r in out) == [(False, 1), (False, 3), (True, None), (True, None)]
