@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) with the columns of ``documents`` and
 returns what it keeps with the same columns; the last returns packed pieces.
 The caller may write each result and read it again before the next stage.
 
-Rows that repeat a doc_id share its fate in every stage, so exact repeats of a
-row stay together; a null doc_id is never a near-duplicate.  Empty inputs give
+Rows that share a doc_id share its fate in near-duplicate removal; of rows with
+equal doc_id and equal text one stays; a null doc_id is never a near-duplicate.  Empty inputs give
 empty results.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tasklattice.llm import language_id, near_dedup, packing, pii, quality_rules
-from tasklattice.llm.common import checkpointed
+from tasklattice.llm.common import checkpointed, fresh_name
 
 #: Ids of removed copies are broadcast up to so many; beyond that they are joined by shuffle.
 BROADCAST_IDS = 200_000
@@ -40,7 +40,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     gone = checkpointed(near_dedup.link_near_duplicates(docs).where("not kept").select("doc_id").distinct())
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # Only rows that repeat are moved; equal rows are met map-side, however many they are.
+    key = fresh_name(docs, "_text_key")
+    keyed = rest.withColumn(key, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    repeated = checkpointed(keyed.where("doc_id is not null").groupBy("doc_id", key).count().where("count > 1").select("doc_id", key))
+    n = repeated.count()
+    if not n:
+        return rest
+    if n <= BROADCAST_IDS:
+        repeated = F.broadcast(repeated)
+    once = keyed.join(repeated, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
+    return keyed.join(repeated, ["doc_id", key], "left_anti").unionByName(once).select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
