@@ -8,6 +8,8 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict, deque
 
+import numpy as np
+
 
 def adjacency(edges):
     out, into = defaultdict(list), defaultdict(list)
@@ -217,6 +219,44 @@ def betweenness(ids, edges, sources):
     return score
 
 
+class Adjacency:
+    """Successor lists of a whole graph in flat arrays, for searches that advance a level at a time."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray) -> None:
+        self.ids, ends = np.unique(np.concatenate((src, dst)), return_inverse=True)
+        u, v = ends[: len(src)], ends[len(src) :]
+        order = np.argsort(u, kind="stable")
+        self.to = v[order]
+        self.start = np.searchsorted(u[order], np.arange(len(self.ids) + 1))
+
+    def add_shares(self, source: int, score: np.ndarray) -> None:
+        """Add to ``score`` the shares of the shortest paths from ``source`` that lead through each node."""
+        at = int(np.searchsorted(self.ids, source))
+        if at == len(self.ids) or self.ids[at] != source:
+            return
+        n = len(self.ids)
+        level, paths = np.full(n, -1, np.int32), np.zeros(n)
+        level[at], paths[at] = 0, 1.0
+        front, steps, depth = np.array([at]), [], 0
+        while len(front):
+            sizes = self.start[front + 1] - self.start[front]
+            u = np.repeat(front, sizes)
+            v = self.to[np.arange(len(u)) + np.repeat(self.start[front] - np.cumsum(sizes) + sizes, sizes)]
+            new = np.unique(v[level[v] < 0])
+            depth += 1
+            level[new] = depth
+            ahead = level[v] == depth
+            u, v = u[ahead], v[ahead]
+            paths += np.bincount(v, paths[u], n)
+            steps.append((u, v))
+            front = new
+        share = np.zeros(n)
+        for u, v in reversed(steps):
+            share += np.bincount(u, paths[u] / paths[v] * (1 + share[v]), n)
+        share[at] = 0.0
+        score += share
+
+
 class Closing:
     """What closing nodes would free: src blocks dst, and a node is actionable when open with all blockers closed."""
 

@@ -2,7 +2,8 @@
 
 The file is opened where the reader runs: for one file on one machine that is
 the driver's machine or a shared folder.  Key ranges of the row id make the
-partitions, so a large table is read by several tasks.
+partitions, so a large table is read by several tasks.  Equalities and lists of
+texts and whole numbers are pushed into the database's own WHERE.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import sqlite3
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 from pyspark.sql.types import StructType
 
 from tasklattice.functions.scalars import string_array
@@ -35,6 +36,20 @@ class _Reader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict) -> None:
         self.schema, self.path, self.table = schema, options["path"], options["table"]
         self.parts = int(options.get("partitions", "4"))
+        self.where, self.values = "", []
+
+    def pushFilters(self, filters):
+        """Takes the equalities on text and whole numbers of columns that the table has; the others stay with the caller."""
+        have = set(columns_of(self.path, self.table))
+        kinds = {f.name: f.dataType.simpleString() for f in self.schema.fields}
+        for f in filters:
+            name = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
+            values = [f.value] if isinstance(f, EqualTo) else list(f.value) if isinstance(f, In) else []
+            if name in have and kinds.get(name) in ("string", "int", "bigint") and values and None not in values:
+                self.where += f' AND "{name}" IN ({", ".join("?" * len(values))})'
+                self.values += values
+            else:
+                yield f
 
     def _open(self) -> sqlite3.Connection:
         return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
@@ -53,7 +68,7 @@ class _Reader(DataSourceReader):
         with self._open() as db:
             have = {r[1] for r in db.execute(f'PRAGMA table_info("{self.table}")')}
             wanted = ", ".join(f'"{c}"' if c in have else f'NULL AS "{c}"' for c in names)
-            for row in db.execute(f'SELECT {wanted} FROM "{self.table}" WHERE rowid BETWEEN ? AND ?', (partition.low, partition.high)):
+            for row in db.execute(f'SELECT {wanted} FROM "{self.table}" WHERE rowid BETWEEN ? AND ?{self.where}', (partition.low, partition.high, *self.values)):
                 try:
                     yield tuple(_cell(v, k) for v, k in zip(row, kinds, strict=True))
                 except (TypeError, ValueError):
@@ -92,9 +107,20 @@ class SqliteSource(DataSource):
 
 def table(spark: SparkSession, path: str, name: str, schema: str, partitions: int = 4) -> DataFrame:
     spark.dataSource.register(SqliteSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("sqlite_table").schema(schema).options(table=name, partitions=str(partitions)).load(path)
 
 
+def write_table(df: DataFrame, path: str, name: str, batch: int = 10_000) -> None:
+    """``df`` as a new table of the database on the driver's machine; rows come a partition at a time."""
+    kinds = {"int": "INTEGER", "bigint": "INTEGER"}
+    rows = df.toLocalIterator()
+    with sqlite3.connect(path) as db:
+        db.execute(f'CREATE TABLE "{name}" ({", ".join(f"{chr(34)}{c}{chr(34)} {kinds.get(t, "TEXT")}" for c, t in df.dtypes)})')
+        while part := [tuple(r) for _, r in zip(range(batch), rows)]:
+            db.executemany(f'INSERT INTO "{name}" VALUES ({", ".join("?" * len(df.columns))})', part)
+
+
 def columns_of(path: str, name: str) -> list[str]:
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
         return [r[1] for r in db.execute(f'PRAGMA table_info("{name}")')]
@@ -131,16 +157,19 @@ def comments(spark: SparkSession, path: str) -> DataFrame:
 def read_issues(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
     """Live issues with labels, dependencies and comments; columns that the table lacks are null.
 
+    ``where`` reads the issue's own columns, and its equalities go into the database.
+
     The order of the source (updated last first) is an explicit sort for the
     caller, :func:`latest_first`.  Statuses are taken as they stand.
     """
     rows = table(spark, path, "issues", ", ".join(f"{c} {t}" for c, t in COLUMNS.items())).where(_live()).drop("tombstone")
     rows = rows.withColumn("labels", string_array(F.col("labels")))
+    if where is not None:
+        rows = rows.where(where)
     d = dependencies(spark, path).groupBy(F.col("issue_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("issue_id", "depends_on_id", "type"))).alias("dependencies"))
     c = F.transform(F.array_sort(F.collect_list(F.struct("created_at", "id", "issue_id", "author", "text"))), lambda x: F.struct(x["id"], x["issue_id"], x["author"], x["text"], x["created_at"]))
     notes = comments(spark, path).groupBy(F.col("issue_id").alias("key")).agg(c.alias("comments")).withColumnRenamed("key", "id")
-    out = rows.join(d, "id", "left").join(notes, "id", "left")
-    return out if where is None else out.where(where)
+    return rows.join(d, "id", "left").join(notes, "id", "left")
 
 
 def latest_first(issues: DataFrame) -> DataFrame:

@@ -72,11 +72,10 @@ def blocks_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return nodes, deps.select(F.col("depends_on_key").alias("src"), F.col("issue_key").alias("dst")).distinct()
 
 
-def supply_cycles(spark: SparkSession, sf_dir: str, every: int = 400) -> tuple[DataFrame, DataFrame]:
+def supply_cycles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) between suppliers that ship one part after the other; has cycles."""
     order = Window.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")
-    lines = read(spark, sf_dir, "lineitem").where(F.col("l_partkey") % every == 0)
-    steps = lines.select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(order).alias("dst")).where("dst is not null and src <> dst").distinct()
+    steps = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(order).alias("dst")).where("dst is not null and src <> dst").distinct()
     nodes = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
     return nodes, steps.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
 
@@ -101,5 +100,5 @@ deps AS (SELECT 'ord-' || k AS issue_id, 'ord-' || d AS depends_on_id, type, k A
   UNION ALL SELECT k, k + 1, 'related' FROM dep_rows WHERE k % 13 = 0)),
 nodes AS (SELECT key AS id, status IN ('closed', 'tombstone') AS closed FROM issues),
 edges AS (SELECT DISTINCT depends_on_key AS src, issue_key AS dst FROM deps WHERE type IN ('', 'blocks')),
-cycle_steps AS (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey) AS dst FROM lineitem WHERE l_partkey % 400 = 0),
-cycle_edges AS (SELECT DISTINCT src, dst FROM cycle_steps WHERE dst IS NOT NULL AND src <> dst AND src IN (SELECT s_suppkey FROM supplier) AND dst IN (SELECT s_suppkey FROM supplier))"""
+cycle_steps AS (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey) AS dst FROM lineitem),
+cycle_edges AS MATERIALIZED (SELECT DISTINCT src, dst FROM cycle_steps WHERE dst IS NOT NULL AND src <> dst AND src IN (SELECT s_suppkey FROM supplier) AND dst IN (SELECT s_suppkey FROM supplier))"""

@@ -232,3 +232,20 @@ def test_leading_debounce_in_a_stream(spark, tmp_path):
         assert sorted((r.key, (r.at - base) // 1000) for r in spark.table("kept_events").collect()) == [("a", 0), ("a", 120), ("a", 230), ("b", 10)]
     finally:
         spark.conf.unset(name)
+
+
+def test_equalities_are_pushed_into_the_database(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tasklattice.sources import sqlite_db
+
+    rows = spark.createDataFrame([(f"i-{k}", "t", "open" if k % 2 else "closed", k % 5) for k in range(25)], "id string, title string, status string, priority int")
+    path = str(tmp_path / "beads.db")
+    sqlite_db.write_table(rows, path, "issues", batch=10)
+    assert sqlite_db.count_issues(spark, path) == 25
+    read = sqlite_db.table(spark, path, "issues", "id string, status string, priority int, notes string")
+    found = read.where((F.col("status") == "open") & F.col("priority").isin(1, 3) & F.col("notes").isNull())
+    assert {r.id for r in found.collect()} == {f"i-{k}" for k in range(25) if k % 2 and k % 5 in (1, 3)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(status" in plan or "status = open" not in plan
+    assert sqlite_db.issue_by_id(spark, path, "i-7").first().status == "open"
