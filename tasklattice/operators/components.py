@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from tasklattice.workspace import cut
 
 ROWS_PER_CALL = 100_000
+MAX_EDGES = 20_000_000
+
+
+class ComponentTooLarge(ValueError):
+    """A weak component has more edges than one task may hold."""
 
 
 def _local_forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,7 +67,7 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
-def by_component(nodes: DataFrame, edges: DataFrame, run: Callable, schema: str, extra: tuple[str, ...] = (), max_edges: int = 20_000_000) -> DataFrame:
+def by_component(nodes: DataFrame, edges: DataFrame, run: Callable, schema: str, extra: tuple[str, ...] = (), max_edges: int = MAX_EDGES) -> DataFrame:
     """Run ``run(ids, edges, extras)`` on each weak component and collect its rows.
 
     ``ids`` ascend; ``edges`` are (src, dst) in their order; ``extras`` maps a
@@ -74,7 +79,7 @@ def by_component(nodes: DataFrame, edges: DataFrame, run: Callable, schema: str,
     own = edges.join(comp.withColumnRenamed("id", "src"), "src")
     largest = own.groupBy("component").count().agg(F.max("count")).first()[0] or 0
     if largest > max_edges:
-        raise ValueError(f"a component of {largest} edges is too large for one task")
+        raise ComponentTooLarge(f"a component of {largest} edges is too large for one task")
     filler = [F.lit(None).cast(dict(nodes.dtypes)[c]).alias(c) for c in extra]
     rows = nodes.join(comp, "id").select("component", F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), *extra)
     rows = rows.unionByName(own.select("component", "src", "dst", *filler))

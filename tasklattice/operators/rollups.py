@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tasklattice.functions import scalars as fn
 from tasklattice.operators import filters
+from tasklattice.operators.order import numbered
 
 
 def blocker_details(issues: DataFrame, deps: DataFrame) -> DataFrame:
@@ -84,8 +85,8 @@ def board(issues: DataFrame) -> DataFrame:
     """(mode, lane, rank) of every issue in the three modes, from one scan."""
     modes = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), lane(m).alias("lane")) for m in MODES]))
     rows = issues.withColumn("m", modes).select("*", "m.mode", "m.lane").drop("m")
-    order = Window.partitionBy("mode", "lane").orderBy("priority", F.desc_nulls_last("created_at"), "id")
-    return rows.withColumn("rank", F.row_number().over(order))
+    placed = numbered(rows, ["priority", F.desc_nulls_last("created_at"), "id"], "rank", ("mode", "lane"))
+    return placed.withColumn("rank", F.col("rank") + 1)
 
 
 def lane_totals(issues: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from tasklattice.functions import digest
 from tasklattice.functions import scalars as fn
 from tasklattice.operators import diff, filters, hierarchy, rollups
 from tasklattice.operators.graph import Graph
+from tasklattice.operators.order import numbered
 from tasklattice.sources import jsonl, tables, topologies
 from tasklattice.streaming import snapshots
 from tasklattice.workspace import scratch
@@ -245,7 +246,7 @@ query("e01_status_rollup", f"SELECT {COUNTS} FROM issues")(lambda s, d: rollups.
 query("e01_rollup_by_priority", f"SELECT priority, {COUNTS} FROM issues GROUP BY 1")(lambda s, d: rollups.status_counts(tables.issues(s, d), tables.dependencies(s, d), ["priority"]))
 query("e02_project_counts", "SELECT source_repo AS project, count(CASE WHEN status = 'open' THEN 1 END) AS open_count, count(CASE WHEN status = 'in_progress' THEN 1 END) AS in_progress_count, count(CASE WHEN status = 'blocked' THEN 1 END) AS blocked_count FROM issues GROUP BY 1")(lambda s, d: rollups.project_counts(tables.issues(s, d, True), tables.dependencies(s, d), "source_repo").drop("ready_count"))
 query("e03_label_counts", "SELECT label, count(*) AS n FROM (SELECT unnest(labels) AS label FROM issues) GROUP BY 1")(lambda s, d: rollups.label_counts(tables.issues(s, d, True)))
-query("e04_label_order", "SELECT label, n, row_number() OVER (ORDER BY n DESC, label) AS place FROM (SELECT label, count(*) AS n FROM (SELECT unnest(labels) AS label FROM issues) GROUP BY 1)")(lambda s, d: rollups.top_k(rollups.label_counts(tables.issues(s, d, True)).withColumn("g", F.lit(0)), 1 << 30, "n", [F.asc("label")], ["g"]).select("label", "n", C("rank").alias("place")))
+query("e04_label_order", "SELECT label, n, row_number() OVER (ORDER BY n DESC, label) AS place FROM (SELECT label, count(*) AS n FROM (SELECT unnest(labels) AS label FROM issues) GROUP BY 1)")(lambda s, d: numbered(rollups.label_counts(tables.issues(s, d, True)), [F.desc("n"), F.asc("label")], "place").select("label", "n", (C("place") + 1).alias("place")))
 LANE = {"status": f"CASE WHEN status = 'in_progress' THEN 1 WHEN status = 'blocked' THEN 2 WHEN {CLOSED} THEN 3 ELSE 0 END", "priority": "CASE WHEN priority IN (0, 1, 2) THEN priority ELSE 3 END", "type": "CASE issue_type WHEN 'bug' THEN 0 WHEN 'feature' THEN 1 WHEN 'epic' THEN 3 ELSE 2 END"}
 query("e05_lane_stats", f"SELECT {LANE['status']} AS lane, count(*) AS total, count(CASE WHEN priority = 0 THEN 1 END) AS p0, count(CASE WHEN priority = 1 THEN 1 END) AS p1, count(CASE WHEN id IN ({HELD}) THEN 1 END) AS blocked, max({AGE}) AS oldest_days FROM issues GROUP BY 1")(lambda s, d: rollups.lane_stats(tables.issues(s, d), tables.dependencies(s, d), "status", now()))
 BOARD = " UNION ALL ".join(f"SELECT '{m}' AS mode, {x} AS lane, id, priority, created_at FROM issues" for m, x in LANE.items())
