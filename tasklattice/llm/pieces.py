@@ -6,7 +6,12 @@ piece crosses.  The distinct words of a batch are grouped by length, and all
 words of one length advance together: prefix hashes give the hash of every
 substring of a given length at once, ``searchsorted`` probes the sorted piece
 keys with them, and maxima over the pieces that end at a position store the
-backpointers.  Characters without a piece cost ten more than the worst piece and
+backpointers.  A word above ``long_word`` characters falls into segments of
+``segment_chars`` which advance together as rows of one length: once from each
+place at which a path may enter a segment, which gives a matrix of best scores
+from entry to entry; these, applied one after the other, give each segment's
+entry scores, from which all segments advance once more for their backpointers.
+Characters without a piece cost ten more than the worst piece and
 become byte pieces.
 
 The result is the segmentation of greatest total score (of equal ones, that
@@ -15,7 +20,9 @@ pieces gives; the merges of the model's own BPE mode are not replayed.  Decoding
 is exact: byte pieces give their bytes and only the marks of other pieces become
 spaces, so also a mark that stands in the text itself comes back.
 
-Memory is bounded by a batch of ``batch_chars`` characters (or one text).
+Memory is bounded by a batch of ``batch_chars`` characters (or one text; of a
+long word, segments are taken in blocks and only a backpointer and a piece are
+kept for each character).  Time is in proportion to the characters.
 
 Defined cases: null and empty texts have no pieces and decode to an empty text;
 repeated rows give equal rows; an empty table gives an empty result.  Only the
@@ -27,6 +34,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,6 +52,8 @@ _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _BASE = 0xC6A4A7935BD1E995
 UNKNOWN_PENALTY = 10.0
 _MAYBE = 1 << 20
+#: Stands beyond the end of a word; no code point.
+_NO_CHARACTER = 0xFFFFFFFF
 
 
 @dataclass(frozen=True)
@@ -52,6 +62,9 @@ class PieceParams:
     model: str | None = None
     batch_chars: int = 2_000_000
     group_cells: int = 400_000
+    #: Longer words advance as segments of so many characters (more than the longest piece).
+    long_word: int = 256
+    segment_chars: int = 64
 
 
 PRODUCTION = PieceParams()
@@ -65,6 +78,10 @@ def _hash(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def _key(h: np.ndarray, length: int) -> np.ndarray:
     h = (h ^ (h >> U64(32))) * U64(0x9FB21C651E98DF25) + U64(length * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
     return h ^ (h >> U64(29))
@@ -113,10 +130,9 @@ class Pieces:
         self.blob = np.frombuffer(b"".join(data), np.uint8)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words of one length, one word after the other, and how many each has."""
-        n, length = len(words), len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length)
+    def probe(self, codes: np.ndarray) -> np.ndarray:
+        """The slot of the piece of length k that ends at a place of a row, or -1: (k, row, end)."""
+        n, length = codes.shape
         prefix = _hash(codes)
         most = min(self.longest, length)
         found = np.full((most + 1, n, length + 1), -1, np.int32)
@@ -127,6 +143,13 @@ class Pieces:
             at = np.minimum(np.searchsorted(self.keys, flat[likely]), len(self.keys) - 1)
             slot[likely] = np.where(self.keys[at] == flat[likely], at, -1)
             found[k, :, k:] = slot.reshape(key.shape)
+        return found
+
+    def segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of one length, one word after the other, and how many each has."""
+        n, length = len(words), len(words[0])
+        found = self.probe(_codes("".join(words)).reshape(n, length))
+        most = len(found) - 1
         best = np.zeros((n, length + 1))
         back = np.zeros((n, length + 1), np.int8 if most < 127 else np.int32)
         for end in range(1, length + 1):
@@ -162,7 +185,82 @@ class Pieces:
             out.append(own)
         return np.array([x for own in out for x in own], np.int32), np.array([len(x) for x in out])
 
-    def encode(self, texts: list[str | None], group_cells: int) -> list[np.ndarray]:
+    def _advance(self, found: np.ndarray, entry: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Best scores and backpointers of rows of ``size`` characters, by (row, entry set, place).
+
+        ``entry`` (rows, sets, places) scores the first places of a row; a place
+        reached best by an entry has backpointer 0.  Pieces begin within ``size``.
+        """
+        rows, sets, reach = entry.shape
+        best = np.full((rows, sets, size + reach), -np.inf)
+        best[:, :, :reach] = entry
+        back = np.zeros((rows, sets, size + reach), np.int32)
+        for end in range(1, size + reach):
+            tops, here = best[:, :, end], back[:, :, end]
+            for k in range(min(reach, end), max(0, end - size), -1):
+                slot = found[k, :, end]
+                score = np.where(slot >= 0, self.scores[slot], self.unknown if k == 1 else -np.inf)
+                total = best[:, :, end - k] + score[:, None]
+                more = total > tops
+                tops[more], here[more] = total[more], k
+        return best, back
+
+    def long_words(self, words: list[str], p: PieceParams = PRODUCTION) -> list[np.ndarray]:
+        """Ids of long words.  A word has a segment more than it needs, so its end is a place of its own segments."""
+        reach, size = self.longest, max(p.segment_chars, self.longest)
+        spans = [(len(w) // size + 1) * size for w in words]
+        first = np.zeros(sum(spans) // size, bool)
+        begins = np.cumsum(spans) - spans
+        first[begins // size] = True
+        codes = np.full(sum(spans) + reach, _NO_CHARACTER, np.uint32)
+        for at, w in zip(begins.tolist(), words, strict=True):
+            codes[at : at + len(w)] = _codes(w)
+        back, slots = np.zeros(sum(spans), np.int32), np.empty(sum(spans), np.int32)
+        start = np.full(reach, -np.inf)
+        start[0] = 0.0
+        every = np.where(np.eye(reach, dtype=bool), 0.0, -np.inf)
+        block = max(1, p.group_cells // (size + reach))
+        carried, last = start, None
+        for at in range(0, len(first), block):
+            rows = np.arange(at, min(at + block, len(first)))
+            found = self.probe(codes[(rows * size)[:, None] + np.arange(size + reach - 1)])
+            leaps = self._advance(found, np.broadcast_to(every, (len(rows), reach, reach)), size)[0][:, :, size:]
+            entry = np.empty((len(rows), 1, reach))
+            for r, leap in zip(rows.tolist(), leaps, strict=True):
+                entry[r - at, 0] = start if first[r] else carried
+                carried = (entry[r - at, 0][:, None] + leap).max(0)
+            steps = self._advance(found, entry, size)[1][:, 0]
+            used = found[steps, np.arange(len(rows))[:, None], np.arange(size + reach)]
+            both = np.stack([steps, used])
+            # Places that an earlier segment's piece reaches take that segment's backpointers.
+            before = np.concatenate([np.zeros((2, 1, reach), both.dtype) if last is None else last, both[:, :-1, size:]], axis=1)
+            own = both[:, :, :size].copy()
+            own[:, :, :reach] = np.where(steps[:, :reach] == 0, before, own[:, :, :reach])
+            last = both[:, -1:, size:]
+            back[rows[0] * size : (rows[-1] + 1) * size], slots[rows[0] * size : (rows[-1] + 1) * size] = own.reshape(2, -1)
+        view = memoryview(back)
+        out = []
+        for at, w in zip(begins.tolist(), words, strict=True):
+            ends, end = array("q"), at + len(w)
+            while end > at:
+                ends.append(end)
+                end -= view[end]
+            ends = np.frombuffer(ends, np.int64)[::-1]
+            own = slots[ends]
+            ids = self.ids[own].astype(np.int32)
+            bare = np.flatnonzero(own < 0)
+            if len(bare):
+                parts, done = [], 0
+                for k in bare.tolist():
+                    parts.append(ids[done:k])
+                    character = w[int(ends[k]) - at - 1].replace(LITERAL, MARK)
+                    parts.append(self.byte_id[list(character.encode("utf-8", "surrogatepass"))].astype(np.int32))
+                    done = k + 1
+                ids = np.concatenate([*parts, ids[done:]])
+            out.append(ids)
+        return out
+
+    def encode(self, texts: list[str | None], p: PieceParams = PRODUCTION) -> list[np.ndarray]:
         number: dict[str, int] = {}
         rows = []
         for t in texts:
@@ -176,8 +274,15 @@ class Pieces:
             by_length.setdefault(len(w), []).append(w)
         starts, sizes = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
         parts, at_all = [], 0
+        long = [w for length, words in by_length.items() if length > p.long_word for w in words]
+        for w, own in zip(long, self.long_words(long, p) if long else [], strict=True):
+            sizes[number[w]], starts[number[w]] = len(own), at_all
+            parts.append(own)
+            at_all += len(own)
         for length, words in by_length.items():
-            step = max(1, group_cells // (length + 1))
+            if length > p.long_word:
+                continue
+            step = max(1, p.group_cells // (length + 1))
             for at in range(0, len(words), step):
                 part = words[at : at + step]
                 own, n = self.segment(part)
@@ -228,7 +333,7 @@ def encode_documents(docs: DataFrame, params: PieceParams = PRODUCTION) -> DataF
         for batch in batches:
             rows = list(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True))
             for part in _parts(rows, params.batch_chars):
-                ids = pieces.encode([t for _, t in part], params.group_cells)
+                ids = pieces.encode([t for _, t in part], params)
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     small_batches(docs.sparkSession)
@@ -257,7 +362,7 @@ def encode_and_verify(docs: DataFrame, params: PieceParams = PRODUCTION) -> Data
         for batch in batches:
             rows = list(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True))
             for part in _parts(rows, params.batch_chars):
-                ids = pieces.encode([t for _, t in part], params.group_cells)
+                ids = pieces.encode([t for _, t in part], params)
                 back = [pieces.decode(x.astype(np.int64)) for x in ids]
                 columns = [
                     pa.array([k for k, _ in part], pa.int64()),

@@ -1,3 +1,5 @@
+import random
+
 import pandas as pd
 import pytest
 
@@ -39,10 +41,10 @@ def pieces():
 def test_segmentation_equals_plain_viterbi_and_round_trips(pieces):
     docs = pd.read_parquet("/root/testdata/sf0.001/documents.parquet").text.tolist()
     texts = TEXTS + [t[:400] for t in docs[:60]]
-    for t, ids in zip(texts, pieces.encode(texts, 5000), strict=True):
+    for t, ids in zip(texts, pieces.encode(texts, pc.PieceParams(group_cells=5000)), strict=True):
         assert ids.tolist() == plain_viterbi(pieces, t)
         assert pieces.decode(ids.astype("int64")) == t
-    for t, ids in zip(docs, pieces.encode(docs, 400_000), strict=True):
+    for t, ids in zip(docs, pieces.encode(docs), strict=True):
         assert pieces.decode(ids.astype("int64")) == t
 
 
@@ -54,3 +56,23 @@ def test_frames(spark, sf):
     assert len(rows) == len(edge.ROWS) and all(r.exact for r in rows)
     assert {r.n_pieces for r in rows if r.doc_id in (1, 2)} == {0}
     assert pc.encode_and_verify(edge.empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("params", [pc.PRODUCTION, pc.PieceParams(group_cells=500, long_word=20, segment_chars=17)])
+def test_long_words_equal_plain_viterbi(pieces, params):
+    draw = random.Random(5)
+    alphabets = ("ab", "theofing", "日本語中文的一是", "x", "▁a", "\U0001f600é中a")
+    texts = ["".join(draw.choice(a) for _ in range(n)) for n in (255, 256, 257, 319, 320, 641, 1200) for a in alphabets]
+    texts += [" " * 700, "a" * 300 + " " * 300, "ab " * 200 + "q" * 700]
+    for t, ids in zip(texts, pieces.encode(texts, params), strict=True):
+        assert ids.tolist() == plain_viterbi(pieces, t)
+        assert pieces.decode(ids.astype("int64")) == t
+    assert [x.tolist() for x in pieces.encode(texts[::-1], params)][::-1] == [x.tolist() for x in pieces.encode(texts, params)]
+
+
+def test_text_without_spaces_is_linear_work(pieces):
+    draw = random.Random(6)
+    text = "".join(draw.choice("日本語中文的一是在不了有和人这") for _ in range(1_000_000))
+    ids = pieces.encode([text, None, "", text])
+    assert [len(x) for x in ids[1:3]] == [0, 0] and ids[0].tolist() == ids[3].tolist()
+    assert pieces.decode(ids[0].astype("int64")) == text
