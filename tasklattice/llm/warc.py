@@ -2,9 +2,10 @@
 
 ``write_archives`` turns pages into request, response (or revisit) and metadata
 records, built as strings in the JVM and written by Spark's text writer with
-the record separator as line end, gzipped, into the shared folder; a file holds
-a bounded number of records.  ``read_records`` parses the files by their
-Content-Length headers.  ``assemble`` joins the request and metadata records to
+the record separator as line end, gzipped, into the shared folder.  Pages are
+written by classes of size, so a file holds at most ``records_per_file`` / 3
+times ``small_bytes`` of payload, or one capture.  ``read_records`` decompresses
+and parses the files as streams, by their Content-Length headers.  ``assemble`` joins the request and metadata records to
 the response or revisit that they are concurrent to, and gives one nested row
 for each capture.
 
@@ -27,7 +28,7 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -45,7 +46,10 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 @dataclass(frozen=True)
 class WarcParams:
     min_revisit_bytes: int = 0
+    #: Records of a file; pages above small_bytes share files of fewer, those above medium_bytes have one each.
     records_per_file: int = 6000
+    small_bytes: int = 64 << 10
+    medium_bytes: int = 1 << 20
     date: str = "2026-01-01T00:00:00Z"
     broadcast_rows: int = 100_000
 
@@ -84,7 +88,21 @@ def write_archives(pages: DataFrame, path: str, params: WarcParams = PRODUCTION)
     equal = checkpointed(equal.where("n > 1").select("digest", "size", "lead"))
     if equal.count() <= p.broadcast_rows:
         equal = F.broadcast(equal)
-    rows = rows.join(equal, ["digest", "size"], "left")
+    # Pages of like size share files, so a file's bytes are bounded, or those of one capture.
+    classes, low = [], -1
+    for high, per_file in ((p.small_bytes, p.records_per_file), (p.medium_bytes, max(3, p.records_per_file * p.small_bytes // p.medium_bytes)), (None, 3)):
+        own = F.col("size") > low
+        classes.append((own if high is None else own & (F.col("size") <= high), per_file))
+        low = high
+    present = rows.agg(*[F.bool_or(own).alias(f"c{k}") for k, (own, _) in enumerate(classes)]).first()
+    used = [x for x, there in zip(classes, present, strict=True) if there] or classes[:1]
+    for k, (own, per_file) in enumerate(used):
+        part = rows.where(own) if len(used) > 1 else rows
+        _write_captures(part.join(equal, ["digest", "size"], "left"), f"{path}/{k}", per_file, p)
+    return path
+
+
+def _write_captures(rows: DataFrame, path: str, records_per_file: int, p: WarcParams) -> None:
     uri = F.nullif(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), F.lit(""))
     host, rest = F.regexp_extract("uri", "://([^/?#]*)", 1), F.regexp_extract("uri", "://[^/?#]*([^#]*)", 1)
     rows = rows.withColumns(
@@ -107,41 +125,73 @@ def write_archives(pages: DataFrame, path: str, params: WarcParams = PRODUCTION)
     metadata = _record("metadata", about, p.date, WARC_Record_ID=_urn(F.col("id"), F.lit("metadata")), WARC_Target_URI=target, WARC_Concurrent_To=F.col("id"), Content_Type=F.lit("application/warc-fields"))
     records = rows.select(F.explode(F.array(request, F.when(F.col("lead_id").isNull(), response).otherwise(revisit), metadata)).alias("value"))
     # In the writer's options the level of the codec is by its Hadoop name.
-    records.write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", p.records_per_file).text(path)
-    return path
+    writer = records.write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+    writer.option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names, with the version under '') and blocks of uncompressed records."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        version, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
+def gunzipped(data: bytes, step: int = 1 << 16, most: int = 1 << 20) -> Iterator[bytes]:
+    """The content of all members of a gzip file, at most ``most`` bytes at a time; other data as it is."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    member, within, at, held = zlib.decompressobj(31), False, 0, b""
+    while held or at < len(data):
+        if not held:
+            held, at = data[at : at + step], at + step
+        within = True
+        yield member.decompress(held, most)
+        held = member.unconsumed_tail
+        if member.eof:
+            held, member, within = member.unused_data, zlib.decompressobj(31), False
+    while within and not member.eof:
+        rest = member.decompress(b"", most)
+        if not rest and not member.eof:
+            raise ValueError("a gzip member ends too early")
+        yield rest
+
+
+def parse_warc(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (lower-case names, with the version under '') and blocks of uncompressed records.
+
+    Holds a record and a chunk at a time.
+    """
+    chunks, held, at, passed = iter(chunks), bytearray(), 0, 0
+
+    def fill(n: int) -> bool:
+        """Read on until ``n`` bytes are held beyond ``at``, if there are so many."""
+        nonlocal at, passed
+        if len(held) - at < n and at:
+            del held[:at]
+            passed, at = passed + at, 0
+        while len(held) - at < n:
+            more = next(chunks, None)
+            if more is None:
+                return False
+            held.extend(more)
+        return True
+
+    while fill(1):
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", at + seen)) < 0:
+            seen = max(0, len(held) - at - 3)
+            if not fill(len(held) - at + 1):
+                break
+        if end < 0 or not held.startswith(b"WARC/", at):
+            raise ValueError(f"no WARC record at byte {passed + at}")
+        version, *lines = held[at:end].decode("utf-8", "replace").split("\r\n")
         head = {"": version}
         for line in lines:
             name, _, value = line.partition(":")
             head[name.strip().lower()] = value.strip()
-        start, n = end + 4, int(head["content-length"])
-        if data[start + n : start + n + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} does not end where its length says")
-        yield head, data[start : start + n]
+        skip, n = end + 4 - at, int(head["content-length"])
+        fill(skip + n + 4)
+        start = at + skip
+        if held[start + n : start + n + 4] != b"\r\n\r\n":
+            raise ValueError(f"record at byte {passed + at} does not end where its length says")
+        yield head, bytes(memoryview(held)[start : start + n])
         at = start + n + 4
 
 
-def gunzip(data: bytes) -> bytes:
-    """All members of a gzip file; other data as it is."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
-        one = zlib.decompressobj(31)
-        out.append(one.decompress(data) + one.flush())
-        data = one.unused_data
-    return b"".join(out)
-
-
 _FIELDS = [
     ("kind", pa.string(), "string"),
     ("record_id", pa.string(), "string"),
@@ -177,17 +227,30 @@ def _row(head: dict[str, str], block: bytes, with_payload: bool) -> tuple:
     return (*cells, payload if with_payload else None)
 
 
-def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """A row for each record of the archives below ``path``.  A task holds a file at a time."""
+def read_records(spark: SparkSession, path: str, with_payload: bool = True, batch_bytes: int = 16 << 20) -> DataFrame:
+    """A row for each record of the archives below ``path``.
+
+    A task holds the compressed files of its scan partition, a record and a
+    batch of results of some ``batch_bytes``.
+    """
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t, _) in zip(zip(*rows, strict=True), _FIELDS, strict=True)], names=[f[0] for f in _FIELDS])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                rows = [_row(h, b, with_payload) for h, b in parse_warc(gunzip(data.as_py()))]
+                rows, held = [], 0
+                for head, block in parse_warc(gunzipped(data.as_py())):
+                    rows.append(_row(head, block, with_payload))
+                    held += 500 + (len(block) if with_payload else 0)
+                    if held >= batch_bytes:
+                        yield batch_of(rows)
+                        rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t, _) in zip(zip(*rows, strict=True), _FIELDS, strict=True)], names=[f[0] for f in _FIELDS])
+                    yield batch_of(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(parse, ", ".join(f"{n} {t}" for n, _, t in _FIELDS))
 
 

@@ -66,8 +66,31 @@ def test_empty_table_and_null_id(spark):
 
 def test_parser_reads_members_and_refuses_damage():
     one = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    data = warc.gunzip(gzip.compress(one) + gzip.compress(one))
-    assert [(h["warc-type"], b) for h, b in warc.parse_warc(data)] == [("warcinfo", b"abc")] * 2
+    data = gzip.compress(one) + gzip.compress(one)
+    for chunks in (warc.gunzipped(data), warc.gunzipped(data, 1, 1), warc.gunzipped(one + one)):
+        assert [(h["warc-type"], b) for h, b in warc.parse_warc(chunks)] == [("warcinfo", b"abc")] * 2
+    assert b"".join(warc.gunzipped(gzip.compress(b"z" * 5_000_000))) == b"z" * 5_000_000
+    with pytest.raises(ValueError):
+        list(warc.gunzipped(data[:-9]))
     for bad in (one[:-1], b"x" + one, one.replace(b": 3", b": 2")):
         with pytest.raises(ValueError):
-            list(warc.parse_warc(bad))
+            list(warc.parse_warc([bad]))
+
+
+def test_parser_at_every_split():
+    """Records and marks that straddle chunks are found wherever the chunks end."""
+    blocks = [b"", b"\r\n\r\n", b"a\r\n\r\nWARC/1.1\r\n\r\n", bytes(range(256))]
+    data = b"".join(b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (len(b), b) for b in blocks)
+    for k in range(len(data)):
+        assert [b for _, b in warc.parse_warc([data[:k], b"", data[k:]])] == blocks
+    assert [b for _, b in warc.parse_warc(data[k : k + 1] for k in range(len(data)))] == blocks
+
+
+def test_large_pages_share_no_file(spark):
+    """Files are bounded by bytes: pages of 2 MB have one each, smaller ones share some."""
+    pages = [(k, f"http://x/{k}", chr(97 + k) * n) for k, n in enumerate([10, 20, 70_000, 80_000, 2_000_000, 2_000_001, 2_000_002])]
+    path = warc.write_archives(spark.createDataFrame(pages, SCHEMA).coalesce(1), warc.archive_folder(spark))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt*").load(path)
+    held = sorted(sum(len(x) for x in warc.gunzipped(bytes(r.content))) // 1_000 for r in files.collect())
+    assert [x // 1_000 for x in held if x > 1_000] == [2, 2, 2] and len(held) == 5
+    assert got(warc.assemble(warc.read_records(spark, path))) == expected(pages)
