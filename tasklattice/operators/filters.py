@@ -48,6 +48,11 @@ def workspace_filter(prefix: Column, repos: list[str] | None) -> Column:
     return F.lit(True) if repos is None else F.lower(prefix).isin(*repos) | (prefix == "")
 
 
+def open_if_huge(issues: DataFrame, huge: int = 20_000) -> DataFrame:
+    """All rows of fewer than ``huge`` issues, of more only those that are not closed."""
+    return issues if issues.count() < huge else issues.where(~fn.closed_like(F.col("status")))
+
+
 def repo_filter(item_id: Column, source_repo: Column, repo: str) -> Column:
     f = repo.lower()
     return F.lower(item_id).startswith(f) | (~source_repo.isin("", ".") & F.lower(source_repo).startswith(f))

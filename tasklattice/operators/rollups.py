@@ -89,6 +89,12 @@ def board(issues: DataFrame) -> DataFrame:
     return placed.withColumn("rank", F.col("rank") + 1)
 
 
+def board_matches(issues: DataFrame, text: str, mode: str = "status") -> DataFrame:
+    """(id, place) of the issues with ``text`` in title or id, lane by lane and by rank within."""
+    found = issues.where(filters.contains_text(text)).withColumn("lane", lane(mode))
+    return numbered(found, ["lane", "priority", F.desc_nulls_last("created_at"), "id"], "place").select("id", "place")
+
+
 def lane_totals(issues: DataFrame) -> DataFrame:
     modes = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), lane(m).alias("lane")) for m in MODES]))
     return issues.select(modes.alias("m")).groupBy("m.mode", "m.lane").agg(F.count("*").alias("n"))

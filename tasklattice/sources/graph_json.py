@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tasklattice import schema
 from tasklattice.operators.graph import Graph
+from tasklattice.operators.order import numbered
+from tasklattice.workspace import cut
 
 
 def read_graph(spark: SparkSession, path: str) -> Graph:
@@ -22,8 +24,11 @@ def read_graph(spark: SparkSession, path: str) -> Graph:
 
 def to_json(graph: Graph) -> DataFrame:
     """One row (json) with the nodes in order and the edges by source.  For graphs that one document can hold."""
-    nodes = graph.nodes.agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("n"))
-    edges = graph.edges.agg(F.array_sort(F.collect_list(F.struct("src", "dst"))).alias("e"))
-    place = lambda v: (F.array_position(F.transform("n", lambda x: x["id"]), v) - 1).cast("int")
-    pairs = F.transform("e", lambda x: F.array(place(x["src"]), place(x["dst"])))
-    return nodes.join(edges).select(F.to_json(F.struct(F.transform("n", lambda x: x["name"]).alias("nodes"), pairs.alias("edges"))).alias("json"))
+    placed = cut(numbered(graph.nodes.select("id", "name"), ["id"], "place"))
+    nodes = placed.agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("n"))
+    end = lambda c: placed.select(F.col("id").alias(c), F.col("place").alias(f"{c}_place"))
+    pairs = graph.edges.join(end("src"), "src").join(end("dst"), "dst")
+    edges = pairs.agg(F.array_sort(F.collect_list(F.struct("src_place", "dst_place"))).alias("e"))
+    names = F.transform("n", lambda x: x["name"])
+    ends = F.transform("e", lambda x: F.array(x["src_place"], x["dst_place"]))
+    return nodes.join(edges).select(F.to_json(F.struct(names.alias("nodes"), ends.alias("edges"))).alias("json"))

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tasklattice.plans import catalogue, stored  # noqa: F401
+from tasklattice.plans import catalogue, stored, views  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
