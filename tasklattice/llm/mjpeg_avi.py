@@ -3,19 +3,24 @@
 ``write_avi`` stores frames of 8-bit grey samples as lossless-process JPEG
 (SOF3, predictor 1) in a RIFF AVI file with an ``idx1`` index.  ``read_avi``
 parses the headers and the index and gives the frames' JPEG bytes; every frame
-is intra coded.  ``decode_frames`` undoes stuffing, Huffman codes and prediction
+is intra coded.  Files without ``idx1`` (such as those of several RIFF parts) are
+read by walking their movie lists.  ``decode_frames`` undoes stuffing, Huffman codes and prediction
 of many frames at once: all frames advance together, a sample a step, so numpy
 works on whole columns and no Python loop runs over samples of one frame.
+Ordinary motion-JPEG (sequential DCT, any frame size) goes to ``jpeg_dct``, a
+frame at a time, for the grey samples of its first component.
 ``shots`` cuts where the histogram difference of neighbouring frames exceeds the
 mean of the recent differences by a multiple of their spread.
 
 ``clips`` yields a row for each shot of each media value, with times.
 
-Memory is bounded by ``batch_bytes`` of payload (or one payload, if larger).
+Memory is bounded by ``batch_bytes`` of payload (or one payload, if larger); the
+work arrays of coding are those of at most ``RUN`` frames, whatever the payload.
 
 Defined cases: null text counts as empty; an empty payload is one frame of
-padding; a media value that is null or not such an AVI file gives no clips and
-an error text; repeated rows give equal rows; an empty table gives an empty
+padding; a media value that is null or not such an AVI file, or whose frames
+differ in size, gives no clips and an error text; an empty frame, which such
+files use for a repeat, repeats the one before; repeated rows give equal rows; an empty table gives an empty
 result.  Only the id and the media column are read.
 """
 
@@ -32,11 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tasklattice.llm.common import small_batches
+from tasklattice.llm.jpeg_dct import decode_grey
 
 WIDTH = HEIGHT = 24
 FRAME = WIDTH * HEIGHT
 FPS = 25
 PAD = 255
+#: Frames that are coded or decoded at once.
+RUN = 4096
 
 #: Number of Huffman codes of each length 1 to 16 for the 12 difference categories
 #: (the luminance DC table of the JPEG standard).
@@ -90,6 +98,10 @@ _TAIL = b"\xff\xd9"
 
 def encode_frames(samples: np.ndarray) -> list[bytes]:
     """JPEG bytes of frames (n, FRAME) of 8-bit samples."""
+    return [j for at in range(0, len(samples), RUN) for j in _encode_run(samples[at : at + RUN])]
+
+
+def _encode_run(samples: np.ndarray) -> list[bytes]:
     x = samples.reshape(-1, HEIGHT, WIDTH).astype(np.int16)
     d = x.copy()
     d[:, :, 1:] -= x[:, :, :-1]
@@ -140,9 +152,14 @@ def _scan_data(jpeg: bytes) -> bytes:
 
 
 def decode_frames(jpegs: list[bytes]) -> np.ndarray:
-    """Samples (n, FRAME) of frames; all frames advance together."""
-    if not jpegs:
-        return np.empty((0, FRAME), np.uint8)
+    """Samples (n, FRAME) of frames; all frames of a run advance together."""
+    out = np.empty((len(jpegs), FRAME), np.uint8)
+    for at in range(0, len(jpegs), RUN):
+        out[at : at + RUN] = _decode_run(jpegs[at : at + RUN])
+    return out
+
+
+def _decode_run(jpegs: list[bytes]) -> np.ndarray:
     scans = [_scan_data(j) for j in jpegs]
     sizes = np.array([len(s) + 4 for s in scans])
     data = np.frombuffer(b"".join(s + b"\xff\xff\xff\xff" for s in scans), np.uint8).astype(np.uint32)
@@ -192,32 +209,63 @@ def write_avi(jpegs: list[bytes], fps: int = FPS) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def read_avi(media: bytes) -> tuple[float, list[bytes]]:
-    """Frames a second, and the frames by the file's index."""
-    if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
-        raise ValueError("not a RIFF AVI file")
-    at, end = 12, min(len(media), 8 + struct.unpack_from("<I", media, 4)[0])
-    micros, movi, index = 1_000_000 // FPS, None, None
+def _chunks(media: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(name, start, size) of the chunks from ``at`` to ``end``; of lists, the kind is the name and the start is behind it."""
     while at + 8 <= end:
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
-        kind = media[at + 8 : at + 12] if name == b"LIST" else b""
-        if kind == b"hdrl":
-            micros = struct.unpack_from("<I", media, media.index(b"avih", at) + 8)[0]
-        elif kind == b"movi":
-            movi = at + 8
-        elif name == b"idx1":
-            index = (at + 8, size)
+        inside = name in (b"RIFF", b"LIST")
+        yield (media[at + 8 : at + 12], at + 12, size - 4) if inside else (name, at + 8, size)
         at += 8 + size + (size & 1)
-    if movi is None or index is None:
-        raise ValueError("no movie list or no index")
-    frames = []
-    for name, _, offset, size in struct.iter_unpack("<4sIII", media[index[0] : index[0] + index[1]]):
-        if name[2:] in (b"dc", b"db"):
-            start = movi + offset
-            if media[start : start + 4] != name:
-                raise ValueError("index does not point to a frame")
-            frames.append(media[start + 8 : start + 8 + size])
-    return 1_000_000 / micros, frames
+
+
+def _frames_in(media: bytes, at: int, end: int, grouped: bool = False) -> Iterator[bytes]:
+    """The frames of a movie list and of the groups in it."""
+    for name, start, size in _chunks(media, at, end):
+        if name == b"rec " and not grouped:
+            yield from _frames_in(media, start, min(end, start + size), True)
+        elif name[2:] in (b"dc", b"db"):
+            if start + size > end:
+                raise ValueError("frame beyond its list")
+            yield media[start : start + size]
+
+
+def _indexed(media: bytes, movi: int, index: tuple[int, int]) -> Iterator[bytes]:
+    """Frames by the index, whose offsets count from the list's kind or, in some files, from the file's start."""
+    base = None
+    for name, _, offset, size in struct.iter_unpack("<4sIII", media[index[0] : index[0] + index[1] // 16 * 16]):
+        if name[2:] not in (b"dc", b"db"):
+            continue
+        if base is None:
+            base = movi - 4 if media[movi - 4 + offset : movi + offset] == name else 0
+        start = base + offset
+        if media[start : start + 4] != name or start + 8 + size > len(media):
+            raise ValueError("index does not point to a frame")
+        yield media[start + 8 : start + 8 + size]
+
+
+def read_avi(media: bytes) -> tuple[float, list[bytes]]:
+    """Frames a second, and the frames by the file's index or, without one, by its movie lists."""
+    if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
+        raise ValueError("not a RIFF AVI file")
+    micros, lists, index = 1_000_000 // FPS, [], None
+    for kind, start, size in _chunks(media, 0, len(media)):
+        if kind not in (b"AVI ", b"AVIX"):
+            continue
+        for name, at, n in _chunks(media, start, min(len(media), start + size)):
+            if name == b"hdrl":
+                for part, place, _ in _chunks(media, at, min(len(media), at + n)):
+                    if part == b"avih":
+                        micros = struct.unpack_from("<I", media, place)[0] or micros
+            elif name == b"movi":
+                lists.append((at, min(len(media), at + n)))
+            elif name == b"idx1" and kind == b"AVI ":
+                index = (at, n)
+    if not lists:
+        raise ValueError("no movie list")
+    # The old index covers the first list only.
+    if index and len(lists) == 1:
+        return 1_000_000 / micros, list(_indexed(media, lists[0][0], index))
+    return 1_000_000 / micros, [x for at, end in lists for x in _frames_in(media, at, end)]
 
 
 @dataclass(frozen=True)
@@ -235,13 +283,16 @@ PRODUCTION = ShotParams()
 
 
 def shots(samples: np.ndarray, p: ShotParams = PRODUCTION) -> list[tuple[int, int]]:
-    """Frame ranges (start, end) of the shots of one film's frames (n, FRAME)."""
+    """Frame ranges (start, end) of the shots of one film's frames (n, samples)."""
     n = len(samples)
     if n < 2:
         return [(0, n)] * (n > 0)
-    cell = np.arange(n)[:, None] * p.bins + (samples.astype(np.int64) * p.bins >> 8)
-    hist = np.bincount(cell.ravel(), minlength=n * p.bins).reshape(n, p.bins)
-    diff = np.abs(np.diff(hist, axis=0)).sum(1) / (2 * FRAME)
+    hist = np.empty((n, p.bins), np.int64)
+    for at in range(0, n, RUN):
+        part = samples[at : at + RUN]
+        cell = np.arange(len(part))[:, None] * p.bins + (part.astype(np.int32) * p.bins >> 8)
+        hist[at : at + RUN] = np.bincount(cell.ravel(), minlength=len(part) * p.bins).reshape(-1, p.bins)
+    diff = np.abs(np.diff(hist, axis=0)).sum(1) / (2 * max(1, samples.shape[1]))
     cuts, start = [0], 0
     for k, d in enumerate(diff.tolist()):
         recent = diff[max(start, k - p.recent) : k]
@@ -281,14 +332,40 @@ def stored(payloads: list[bytes]) -> list[bytes]:
     return out
 
 
+def _dct_film(frames: list[bytes]) -> np.ndarray:
+    """Samples (n, height * width) of sequential DCT frames of one size."""
+    films: list[np.ndarray] = []
+    for f in frames:
+        films.append(films[-1] if not f and films else decode_grey(f))
+    if len({x.shape for x in films}) > 1:
+        raise ValueError("frames differ in size")
+    return np.stack([x.ravel() for x in films])
+
+
+def _lossless(jpeg: bytes) -> bool:
+    """Whether the frame's header is that of the lossless process."""
+    if jpeg.startswith(_HEAD):
+        return True
+    at = 2
+    while at + 4 <= len(jpeg) and jpeg[at] == 0xFF and jpeg[at + 1] != 0xDA:
+        if jpeg[at + 1] in (0xC0, 0xC1, 0xC3):
+            return jpeg[at + 1] == 0xC3
+        at += 2 + int.from_bytes(jpeg[at + 2 : at + 4], "big")
+    return False
+
+
 def opened(media: list[bytes]) -> list[tuple[float, np.ndarray]]:
-    """Frame rate and samples of AVI files; all their frames are decoded together."""
+    """Frame rate and samples of AVI files; all their frames of the lossless process are decoded together."""
     parsed = [read_avi(m) for m in media]
-    samples = decode_frames([f for _, frames in parsed for f in frames])
+    own = [not frames or _lossless(frames[0]) for _, frames in parsed]
+    samples = decode_frames([f for (_, frames), lossless in zip(parsed, own, strict=True) if lossless for f in frames])
     out, at = [], 0
-    for fps, frames in parsed:
-        out.append((fps, samples[at : at + len(frames)]))
-        at += len(frames)
+    for (fps, frames), lossless in zip(parsed, own, strict=True):
+        if lossless:
+            out.append((fps, samples[at : at + len(frames)]))
+            at += len(frames)
+        else:
+            out.append((fps, _dct_film(frames)))
     return out
 
 
@@ -319,7 +396,7 @@ def analysed(media: DataFrame, params: ShotParams = PRODUCTION, batch_bytes: int
     def one(m: bytes | None) -> tuple[float, np.ndarray | None, str | None]:
         try:
             return (*opened([m or b""])[0], None)
-        except (ValueError, struct.error) as e:
+        except (ValueError, struct.error, IndexError) as e:
             return 0.0, None, str(e)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +405,7 @@ def analysed(media: DataFrame, params: ShotParams = PRODUCTION, batch_bytes: int
             for part in _batches(rows, lambda r: len(r[2] or b""), batch_bytes):
                 try:
                     films = [(*x, None) for x in opened([m or b"" for _, _, m in part])]
-                except (ValueError, struct.error):
+                except (ValueError, struct.error, IndexError):
                     films = [one(m) for _, _, m in part]
                 cols: list[list] = [[] for _ in range(8)]
                 for (_, _, m), (fps, samples, error) in zip(part, films, strict=True):
