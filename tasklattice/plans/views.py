@@ -6,11 +6,12 @@ import os
 
 from pyspark.sql import functions as F
 
+from tasklattice.functions import digest
 from tasklattice.functions import scalars as fn
 from tasklattice.operators import filters, hierarchy, rollups
 from tasklattice.operators.graph import Graph
 from tasklattice.plans import catalogue
-from tasklattice.plans.catalogue import CLOSED, HEIGHT, LANE, TREE, C, query
+from tasklattice.plans.catalogue import CLOSED, GAIN, HEIGHT, LANE, TREE, C, query
 from tasklattice.plans.stored import _json_lines, _local
 from tasklattice.sources import graph_json, tables
 from tasklattice.sources.view_state import ViewState
@@ -90,3 +91,19 @@ def m09(spark, sf_dir):
     finally:
         ticks.stop()
     return snaps.read("counts").select("open_count", "closed_count")
+
+
+#: The canonical text of an issue that has none of the optional fields.
+CANONICAL = "id || chr(0) || title || repeat(chr(0), 8) || status || chr(0) || issue_type || chr(0) || priority || chr(0) || strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') || chr(0) || '0001-01-01T00:00:00Z' || repeat(chr(0), 4) || chr(1)"
+query("b22_ordered_hash", f"SELECT substr(sha256(string_agg({CANONICAL}, '' ORDER BY id)), 1, 16) AS hash FROM issues")(lambda s, d: s.createDataFrame([(digest.data_hash(tables.issues(s, d)),)], "hash string"))
+
+
+def _years(spark, sf_dir) -> Graph:
+    """A customer's first order of a year as the blocker of the year's others."""
+    nodes, _ = tables.blocks_graph(spark, sf_dir)
+    firsts = tables.dependencies(spark, sf_dir).where("type = 'parent-child'")
+    return Graph.build(nodes, firsts.select(C("depends_on_key").alias("src"), C("issue_key").alias("dst")))
+
+
+YEARS = ", year_edges AS (SELECT DISTINCT depends_on_key AS src, issue_key AS dst FROM deps WHERE type = 'parent-child')"
+query("l06_parallel_cuts_of_years", YEARS + GAIN.replace("FROM edges", "FROM year_edges") + "SELECT id, n - 1 AS parallel_gain, n AS new_actionable FROM gain WHERE n > 1 ORDER BY n DESC, id LIMIT 10")(lambda s, d: _years(s, d).parallel_cuts(10))
