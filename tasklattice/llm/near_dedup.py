@@ -320,20 +320,34 @@ def _small_bucket_pairs(open_rows: DataFrame, p: DedupParams) -> DataFrame:
 def _large_bucket_links(open_rows: DataFrame, sets: DataFrame, p: DedupParams) -> DataFrame:
     """Links across groups in larger buckets, verified on the full sets block by block.
 
-    Each pair of blocks of a bucket is a task of its own and gives a forest of
-    the links that it finds, so at most one link for each member.
+    Of a bucket's members, those of its largest group need no comparison with
+    one another.  They are dealt to blocks, the rest to blocks of their own, and
+    a task compares a block of either kind with one of the rest.  A member of the
+    largest group thus moves once for each block of the rest (once, if the rest is
+    small), whatever the size of its group.  A task gives a forest of the links
+    that it finds, so at most one link for each member.
     """
-    large = open_rows.where(F.col("members") > p.small_bucket).join(sets.select("rep", "shingles"), "rep")
-    blocks = F.ceil(F.col("members") / p.block).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    others = F.explode(F.sequence(F.lit(0), blocks - 1))
-    large = large.withColumn("mine", mine).withColumn("other", others)
-    large = large.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
+    large = open_rows.where(F.col("members") > p.small_bucket)
+    sizes = large.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.max("members").alias("members"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.max("members").alias("all"))
+    main = main.select("bucket", F.col("main.root").alias("main"), F.col("main.n").alias("held"), (F.col("all") - F.col("main.n")).alias("rest"))
+    rows = large.join(main, "bucket").join(sets.select("rep", "shingles"), "rep")
+    inside = F.col("root") == F.col("main")
+    count = lambda c: F.ceil(F.col(c) / p.block).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(inside, count("held")).otherwise(count("rest"))).cast("int"))
+    block = F.col("block")
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("mine"))
+    upto = lambda c: F.sequence(F.lit(0), count(c) - 1)
+    from_main = F.transform(upto("rest"), lambda j: cell(0, block, j, F.lit(-1)))
+    to_main = F.transform(upto("held"), lambda i: cell(0, i, block, F.lit(-2)))
+    to_rest = F.transform(upto("rest"), lambda j: cell(1, F.least(block, j), F.greatest(block, j), block))
+    cells = F.explode(F.when(inside, from_main).otherwise(F.concat(to_main, to_rest)))
+    large = rows.withColumn("cell", cells).select("bucket", "cell.*", "rep", "root", "shingles")
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
         f = f.assign(n=f["shingles"].map(len)).sort_values(["n", "rep"])
         rep, group, n, mine = (f[c].to_numpy(copy=True) for c in ("rep", "root", "n", "mine"))
-        whole = f["i"].iat[0] == f["j"].iat[0]
+        whole = f["kind"].iat[0] == 1 and f["i"].iat[0] == f["j"].iat[0]
         _, ids = np.unique(np.concatenate(f["shingles"].to_list()), return_inverse=True)
         starts = np.concatenate(([0], np.cumsum(n)))
         held = np.zeros(ids.max() + 1, np.int32)
@@ -358,8 +372,7 @@ def _large_bucket_links(open_rows: DataFrame, sets: DataFrame, p: DedupParams) -
                 group[np.isin(group, groups)] = group[k]
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    rows = large.select("bucket", "i", "j", "mine", "rep", "root", "shingles")
-    return rows.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
+    return large.groupBy("bucket", "kind", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def _open_buckets(in_buckets: DataFrame, roots: DataFrame) -> DataFrame:
