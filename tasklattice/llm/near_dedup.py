@@ -57,6 +57,8 @@ class DedupParams:
     #: Buckets of more members are searched in blocks.
     small_bucket: int = 32
     block: int = 1000
+    #: The table of large buckets (four numbers each) is broadcast up to so many.
+    broadcast_buckets: int = 200_000
     #: Bits, as a power of 2, of the bitmap by which the second scan passes over documents in no candidate pair.
     filter_bits: int = 25
 
@@ -331,6 +333,10 @@ def _large_bucket_links(open_rows: DataFrame, sets: DataFrame, p: DedupParams) -
     sizes = large.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.max("members").alias("members"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.max("members").alias("all"))
     main = main.select("bucket", F.col("main.root").alias("main"), F.col("main.n").alias("held"), (F.col("all") - F.col("main.n")).alias("rest"))
+    # Joined where the members are: a hot bucket stays dealt over tasks.
+    main = checkpointed(main)
+    if main.count() <= p.broadcast_buckets:
+        main = F.broadcast(main)
     rows = large.join(main, "bucket").join(sets.select("rep", "shingles"), "rep")
     inside = F.col("root") == F.col("main")
     count = lambda c: F.ceil(F.col(c) / p.block).cast("int")
