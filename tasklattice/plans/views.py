@@ -36,7 +36,7 @@ query("k03_named_heights", HEIGHT + "SELECT 'ord-' || id AS id, h::DOUBLE AS hei
 @query("a25_graph_scan", "SELECT 'ord-' || src AS src, 'ord-' || dst AS dst FROM edges")
 def a25(spark, sf_dir):
     path = scratch(spark, "graph")
-    graph_json.to_json(_named(spark, sf_dir)).write.text(path)
+    graph_json.write_graph(_named(spark, sf_dir), path)
     read = graph_json.read_graph(spark, path)
     end = lambda c: read.nodes.select(C("id").alias(c), C("name").alias(f"{c}_name"))
     return read.edges.join(end("src"), "src").join(end("dst"), "dst").select(C("src_name").alias("src"), C("dst_name").alias("dst"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tasklattice.functions import digest
 from tasklattice.operators import filters, hierarchy, rollups
+from tasklattice.operators.graph import Graph
 from tasklattice.sources import catalog, git_history, graph_json, jsonl, sqlite_db
 from tasklattice.streaming import snapshots
 
@@ -79,6 +80,26 @@ def test_graph_json_round_trip(spark, tmp_path):
     assert json.loads(graph_json.to_json(g).first()[0]) == {"nodes": ["a", "b", "c"], "edges": [[0, 1], [0, 2]]}
 
 
+def test_graph_document_in_lines(spark, tmp_path, monkeypatch):
+    """A graph is written by lines of a few elements, which make one document and read back as they were."""
+    monkeypatch.setattr(graph_json, "LINE_ELEMENTS", 7)
+    names = ['a"', "b,c", "[0,1]", "ü", ",", *[f"n{k}" for k in range(95)]]
+    pairs = sorted({(k * 7 % 100, k * 13 % 100) for k in range(300)})
+    g = Graph.build(spark.createDataFrame([(3 * k, x) for k, x in enumerate(names)], "id long, name string"), spark.createDataFrame([(3 * a, 3 * b) for a, b in pairs], "src long, dst long"))
+    path = tmp_path / "g"
+    graph_json.write_graph(g, str(path))
+    parts = sorted(path.glob("part-*"))
+    assert max(len(x) for p in parts for x in p.read_text().split("\n")) < 200
+    whole = json.loads("".join(p.read_text() for p in parts))
+    assert whole["nodes"] == names and whole["edges"] == [list(p) for p in pairs]
+    read = graph_json.read_graph(spark, str(path))
+    assert sorted((r.id, r.name) for r in read.nodes.collect()) == list(enumerate(names))
+    assert sorted((r.src, r.dst) for r in read.edges.collect()) == pairs
+    lone = Graph.build(spark.createDataFrame([(5, "x")], "id long, name string"), spark.createDataFrame([], "src long, dst long"))
+    graph_json.write_graph(lone, str(tmp_path / "lone"))
+    assert graph_json.read_graph(spark, str(tmp_path / "lone")).nodes.count() == 1
+
+
 @pytest.fixture
 def database(tmp_path):
     path = str(tmp_path / "beads.db")
@@ -179,6 +200,19 @@ def test_git_history(spark, tmp_path):
         h.load("no-such-revision")
 
 
+def test_a_revision_never_passes_through_the_driver_as_text(spark, tmp_path, monkeypatch):
+    repo = tmp_path / "repo"
+    (repo / ".beads").mkdir(parents=True)
+    write(repo / ".beads" / "issues.jsonl", [json.dumps({**GOOD[0], "id": f"t-{k}", "title": "x" * 500}) for k in range(4000)])
+    for a in (["init", "-q"], ["add", "-A"], ["-c", "user.name=n", "-c", "user.email=e@x", "commit", "-q", "-m", "all"]):
+        subprocess.run(["git", "-C", str(repo), *a], check=True, capture_output=True)
+    sizes, git = [], git_history.History._git
+    monkeypatch.setattr(git_history.History, "_git", lambda self, *a: (sizes.append(len(out := git(self, *a))), out)[1])
+    h = git_history.History(spark, str(repo))
+    assert h.exists_at("HEAD") and h.load("HEAD").count() == 4000 and h.load("HEAD").select("id").distinct().count() == 4000
+    assert sizes and max(sizes) < 100
+
+
 def test_tree_of_a_scan(spark, file):
     issues = jsonl.read_issues(spark, file)
     rows = hierarchy.forest(issues, jsonl.edges(issues))
@@ -208,8 +242,6 @@ def test_snapshots_follow_a_stream(spark, tmp_path):
 
 
 def test_a_huge_snapshot_keeps_closed_issues(spark, tmp_path):
-    from pyspark.sql import functions as F
-
     rows = spark.range(20_000).select(F.col("id").cast("string"), F.lit("t").alias("title"), F.when(F.col("id") % 4 == 0, "closed").otherwise("open").alias("status"), F.lit(1).alias("priority"), F.lit("task").alias("issue_type"))
     snaps = snapshots.Snapshots(spark, str(tmp_path / "out"))
     assert snaps.publish(rows) == 1 and snaps.read().count() == 20_000
