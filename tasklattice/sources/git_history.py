@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import subprocess
+import tempfile
 import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tasklattice.sources import jsonl
+from tasklattice.workspace import scratch
 
 # File names of the data format, in order, and date layouts.
 FILES = ("beads.jsonl", "issues.jsonl", "beads.base.jsonl")
@@ -52,27 +55,44 @@ class History:
                 raise LookupError(f"no revision {revision}") from None
             return sha
 
-    def _content(self, sha: str) -> str | None:
+    def _file(self, sha: str) -> str | None:
+        """The first file of the data format that a commit has."""
         for name in FILES:
             try:
-                return self._git("show", f"{sha}:{self.folder}/{name}")
+                self._git("cat-file", "-e", f"{sha}:{self.folder}/{name}")
             except LookupError:
                 continue
+            return name
         return None
 
+    def _copy(self, sha: str, name: str) -> str:
+        """A file of a commit, streamed to the folder that executors share; no process holds it as a whole."""
+        path = scratch(self.spark, "revision")
+        handle, own = tempfile.mkstemp(prefix="revision-")
+        try:
+            with os.fdopen(handle, "wb") as f:
+                done = subprocess.run(["git", "-C", self.repo, "-c", "core.bigFileThreshold=1m", "cat-file", "blob", f"{sha}:{self.folder}/{name}"], stdout=f, stderr=subprocess.PIPE)
+            if done.returncode:
+                raise LookupError(done.stderr.decode(errors="replace").strip())
+            jvm, sc = self.spark._jvm, self.spark.sparkContext
+            to = jvm.org.apache.hadoop.fs.Path(path)
+            to.getFileSystem(sc._jsc.hadoopConfiguration()).copyFromLocalFile(jvm.org.apache.hadoop.fs.Path(f"file://{own}"), to)
+        finally:
+            os.unlink(own)
+        return path
+
     def exists_at(self, revision: str) -> bool:
-        return self._content(self.resolve(revision)) is not None
+        return self._file(self.resolve(revision)) is not None
 
     def load(self, revision: str) -> DataFrame:
         """Issues at a revision, kept for a while by commit."""
         sha, now = self.resolve(revision), time.monotonic()
         if sha in self._cache and now - self._cache[sha][0] <= self.ttl_seconds:
             return self._cache[sha][1]
-        text = self._content(sha)
-        if text is None:
+        name = self._file(sha)
+        if name is None:
             raise LookupError(f"no issues at {revision}")
-        lines = self.spark.createDataFrame([(x,) for x in text.split("\n")], "value string")
-        issues = jsonl.parse(lines)[0].cache()
+        issues = jsonl.parse(self.spark.read.text(self._copy(sha, name), lineSep="\n"))[0].cache()
         self._cache[sha] = (now, issues)
         return issues
 
