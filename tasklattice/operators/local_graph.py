@@ -148,15 +148,20 @@ def cuts(ids, edges):
 
 def elementary_cycles(ids, edges, most):
     """At most ``most`` cycles, each from its smallest node, starts ascending; loops count."""
-    found = []
     out, _ = adjacency(edges)
     part_of = {v: k for k, part in enumerate(strong_components(ids, edges)) for v in part}
+    return cycles_from(ids, out.__getitem__, part_of, most)
+
+
+def cycles_from(ids, out, part_of, most):
+    """The same by the successors ``out(v)``, ascending, and each node's strong component."""
+    found = []
     for start in ids:
         if len(found) >= most:
             break
         inside = lambda w, s=start: w >= s and part_of[w] == part_of[s]
         blocked, waiting = {start}, defaultdict(set)
-        path, work = [start], [[iter([w for w in out[start] if inside(w)]), False]]
+        path, work = [start], [[iter([w for w in out(start) if inside(w)]), False]]
 
         def free(v):
             todo = [v]
@@ -177,7 +182,7 @@ def elementary_cycles(ids, edges, most):
                 elif w not in blocked:
                     path.append(w)
                     blocked.add(w)
-                    work.append([iter([x for x in out[w] if inside(x)]), False])
+                    work.append([iter([x for x in out(w) if inside(x)]), False])
                     break
             else:
                 hit = work.pop()[1]
@@ -187,7 +192,7 @@ def elementary_cycles(ids, edges, most):
                     if work:
                         work[-1][1] = True
                 else:
-                    for w in out[v]:
+                    for w in out(v):
                         if inside(w):
                             waiting[w].add(v)
     return found
@@ -222,13 +227,32 @@ def betweenness(ids, edges, sources):
 class Adjacency:
     """Successor lists of a whole graph in flat arrays, for searches that advance a level at a time."""
 
+    #: Edges that a search holds at once.
+    PIECE = 1 << 20
+
     def __init__(self, src: np.ndarray, dst: np.ndarray) -> None:
         self.ids, ends = np.unique(np.concatenate((src, dst)), return_inverse=True)
         u, v = ends[: len(src)], ends[len(src) :]
         order = np.argsort(u, kind="stable")
-        self.to = v[order]
+        self.to = v[order].astype(np.int32)
         self.start = np.searchsorted(u[order], np.arange(len(self.ids) + 1))
 
+    @classmethod
+    def of(cls, ids: np.ndarray, start: np.ndarray, to: np.ndarray) -> Adjacency:
+        """Of ids that ascend, and places of successors from ``start[k]`` to ``start[k + 1]``."""
+        graph = cls.__new__(cls)
+        graph.ids, graph.start, graph.to = ids, start, to
+        return graph
+
+    def _pieces(self, front: np.ndarray):
+        """(from, to) of the steps out of ``front``, some at a time; a node of many steps may be a piece of its own."""
+        sizes = self.start[front + 1] - self.start[front]
+        part = np.cumsum(sizes) // self.PIECE
+        for own in np.split(np.arange(len(front)), np.flatnonzero(np.diff(part)) + 1):
+            f, size = front[own], sizes[own]
+            u = np.repeat(f, size)
+            yield u, self.to[np.arange(len(u)) + np.repeat(self.start[f] - np.cumsum(size) + size, size)]
+
     def add_shares(self, source: int, score: np.ndarray) -> None:
         """Add to ``score`` the shares of the shortest paths from ``source`` that lead through each node."""
         at = int(np.searchsorted(self.ids, source))
@@ -237,26 +261,77 @@ class Adjacency:
         n = len(self.ids)
         level, paths = np.full(n, -1, np.int32), np.zeros(n)
         level[at], paths[at] = 0, 1.0
-        front, steps, depth = np.array([at]), [], 0
-        while len(front):
-            sizes = self.start[front + 1] - self.start[front]
-            u = np.repeat(front, sizes)
-            v = self.to[np.arange(len(u)) + np.repeat(self.start[front] - np.cumsum(sizes) + sizes, sizes)]
-            new = np.unique(v[level[v] < 0])
-            depth += 1
-            level[new] = depth
-            ahead = level[v] == depth
-            u, v = u[ahead], v[ahead]
-            paths += np.bincount(v, paths[u], n)
-            steps.append((u, v))
-            front = new
+        fronts, left = [np.array([at])], n - 1
+        while left and len(fronts[-1]):
+            depth = len(fronts)
+            for u, v in self._pieces(fronts[-1]):
+                level[v[level[v] < 0]] = depth
+                ahead = level[v] == depth
+                paths += np.bincount(v[ahead], paths[u[ahead]], n)
+            fronts.append(np.flatnonzero(level == depth))
+            left -= len(fronts[-1])
         share = np.zeros(n)
-        for u, v in reversed(steps):
-            share += np.bincount(u, paths[u] / paths[v] * (1 + share[v]), n)
+        for depth in range(len(fronts) - 1, 0, -1):
+            gain = np.divide(1 + share, paths, out=np.zeros(n), where=paths > 0)
+            for u, v in self._pieces(fronts[depth - 1]):
+                ahead = level[v] == depth
+                share += np.bincount(u[ahead], paths[u[ahead]] * gain[v[ahead]], n)
         share[at] = 0.0
         score += share
 
 
+def scan_forest(n, u, v):
+    """Places of the edges of a scan-first forest (here breadth-first) of the undirected graph of ``n`` nodes."""
+    ends, other = np.concatenate((u, v)), np.concatenate((v, u))
+    order = np.argsort(ends, kind="stable")
+    to, edge = other[order], order % max(len(u), 1)
+    start = np.searchsorted(ends[order], np.arange(n + 1)).tolist()
+    seen, held = np.zeros(n, bool), []
+    for root in range(n):
+        if seen[root]:
+            continue
+        seen[root], queue = True, deque([root])
+        while queue:
+            x = queue.popleft()
+            a, b = start[x], start[x + 1]
+            new = np.flatnonzero(~seen[to[a:b]])
+            if len(new):
+                seen[to[a + new]] = True
+                held.append(edge[a + new])
+                queue.extend(to[a + new].tolist())
+    return np.concatenate(held) if held else np.zeros(0, np.int64)
+
+
+def certificate(src, dst):
+    """At most 2 (n - 1) of the edges, undirected, with the same parts whichever node or edge is taken out.
+
+    Two scan-first forests, the second of what the first leaves; certificates of
+    parts of a graph make up one of the whole.
+    """
+    ids, ends = np.unique(np.concatenate((src, dst)), return_inverse=True)
+    a, b = ends[: len(src)], ends[len(src) :]
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    codes = np.unique((low * len(ids) + high)[low != high])
+    low, high = codes // max(len(ids), 1), codes % max(len(ids), 1)
+    first = scan_forest(len(ids), low, high)
+    rest = np.setdiff1d(np.arange(len(low)), first)
+    kept = np.concatenate((first, rest[scan_forest(len(ids), low[rest], high[rest])]))
+    return ids[low[kept]], ids[high[kept]]
+
+
+def lower_cores(u, v, core):
+    """(nodes, values) of those whose value falls to the h-index of their neighbours' values; ``u`` ascends."""
+    starts = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
+    nodes, of = u[starts], np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(u))))
+    falls = np.bincount(of, core[v] >= core[u], len(nodes)) < core[nodes]
+    held = falls[of]
+    of, values = of[held], core[v[held]]
+    order = np.lexsort((-values, of))
+    of, values = of[order], values[order]
+    place = np.arange(len(of)) - np.searchsorted(of, of)
+    return nodes[falls], np.bincount(of, values > place, len(nodes))[falls].astype(core.dtype)
+
+
 class Closing:
     """What closing nodes would free: src blocks dst, and a node is actionable when open with all blockers closed."""
 
