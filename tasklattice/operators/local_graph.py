@@ -234,49 +234,106 @@ class Adjacency:
         self.ids, ends = np.unique(np.concatenate((src, dst)), return_inverse=True)
         u, v = ends[: len(src)], ends[len(src) :]
         order = np.argsort(u, kind="stable")
-        self.to = v[order].astype(np.int32)
+        self.to = v[order].astype(self.cells(len(self.ids)))
         self.start = np.searchsorted(u[order], np.arange(len(self.ids) + 1))
+        self.back = None
 
     @classmethod
     def of(cls, ids: np.ndarray, start: np.ndarray, to: np.ndarray) -> Adjacency:
         """Of ids that ascend, and places of successors from ``start[k]`` to ``start[k + 1]``."""
         graph = cls.__new__(cls)
-        graph.ids, graph.start, graph.to = ids, start, to
+        graph.ids, graph.start, graph.to, graph.back = ids, start, to, None
         return graph
 
-    def _pieces(self, front: np.ndarray):
-        """(from, to) of the steps out of ``front``, some at a time; a node of many steps may be a piece of its own."""
-        sizes = self.start[front + 1] - self.start[front]
+    @staticmethod
+    def cells(n: int) -> type:
+        """The type of places among ``n`` nodes."""
+        return np.uint16 if n <= 1 << 16 else np.int32
+
+    def with_back(self) -> Adjacency:
+        """Itself, with the lists of predecessors as ``back``; these are made for a range of nodes at a time."""
+        if self.back is None:
+            n = len(self.ids)
+            counts = np.zeros(n + 1, np.int64)
+            for k in range(0, len(self.to), self.PIECE):
+                counts[1:] += np.bincount(self.to[k : k + self.PIECE], minlength=n)
+            start, into = np.cumsum(counts), np.empty(len(self.to), self.to.dtype)
+            low = 0
+            while low < n:
+                high = max(low + 1, int(np.searchsorted(start, start[low] + 4 * self.PIECE, "right")) - 1)
+                at = np.flatnonzero((self.to >= low) & (self.to < high))
+                src = np.searchsorted(self.start, at, "right") - 1
+                into[start[low] : start[high]] = src[np.argsort(self.to[at], kind="stable")]
+                low = high
+            self.back = Adjacency.of(self.ids, start, into)
+        return self
+
+    def _pieces(self, rows: np.ndarray):
+        """(rows, steps of each, ends of the steps), some at a time, without rows that have no step; one of many may be a piece of its own."""
+        sizes = self.start[rows + 1] - self.start[rows]
+        rows, sizes = rows[sizes > 0], sizes[sizes > 0]
+        if not len(rows):
+            return
         part = np.cumsum(sizes) // self.PIECE
-        for own in np.split(np.arange(len(front)), np.flatnonzero(np.diff(part)) + 1):
-            f, size = front[own], sizes[own]
-            u = np.repeat(f, size)
-            yield u, self.to[np.arange(len(u)) + np.repeat(self.start[f] - np.cumsum(size) + size, size)]
+        for own in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(part)) + 1):
+            r, size = rows[own], sizes[own]
+            if size.sum() > 64 * len(r):
+                yield r, size, np.concatenate([self.to[a:b] for a, b in zip(self.start[r].tolist(), (self.start[r] + size).tolist(), strict=True)])
+            else:
+                total = np.cumsum(size)
+                yield r, size, self.to[np.arange(total[-1]) + np.repeat(self.start[r] - total + size, size)]
+
+    def steps(self, rows: np.ndarray) -> int:
+        return int((self.start[rows + 1] - self.start[rows]).sum())
+
+    def _push(self, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """For each node, the sum of ``values`` (one for each node) over those of ``rows`` with a step to it."""
+        out = np.zeros(len(self.ids))
+        for r, size, ends in self._pieces(rows):
+            out += np.bincount(ends, np.repeat(values[r], size), len(out))
+        return out
+
+    def _pull(self, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """For each of ``rows``, the sum of ``values`` over the ends of its steps; 0 for other nodes."""
+        out = np.zeros(len(self.ids))
+        for r, size, ends in self._pieces(rows):
+            out[r] = np.add.reduceat(values[ends], np.cumsum(size) - size)
+        return out
 
     def add_shares(self, source: int, score: np.ndarray) -> None:
-        """Add to ``score`` the shares of the shortest paths from ``source`` that lead through each node."""
+        """Add to ``score`` the shares of the shortest paths from ``source`` that lead through each node.
+
+        Between two levels the steps out of the nearer or into the farther one are
+        taken, whichever are fewer; so a last level of few nodes costs their steps
+        and not those of the whole graph.
+        """
         at = int(np.searchsorted(self.ids, source))
         if at == len(self.ids) or self.ids[at] != source:
             return
-        n = len(self.ids)
-        level, paths = np.full(n, -1, np.int32), np.zeros(n)
-        level[at], paths[at] = 0, 1.0
-        fronts, left = [np.array([at])], n - 1
-        while left and len(fronts[-1]):
-            depth = len(fronts)
-            for u, v in self._pieces(fronts[-1]):
-                level[v[level[v] < 0]] = depth
-                ahead = level[v] == depth
-                paths += np.bincount(v[ahead], paths[u[ahead]], n)
-            fronts.append(np.flatnonzero(level == depth))
-            left -= len(fronts[-1])
+        n, back = len(self.ids), self.with_back().back
+        paths, new = np.zeros(n), np.zeros(n)
+        paths[at] = 1.0
+        fronts, left = [np.array([at])], np.delete(np.arange(n), at)
+        while len(left):
+            front = fronts[-1]
+            if self.steps(front) <= back.steps(left):
+                new = self._push(front, paths)
+            else:
+                held = np.zeros(n)
+                held[front] = paths[front]
+                new = back._pull(left, held)
+            found = new[left] > 0
+            front, left = left[found], left[~found]
+            if not len(front):
+                break
+            paths[front] = new[front]
+            fronts.append(front)
         share = np.zeros(n)
-        for depth in range(len(fronts) - 1, 0, -1):
-            gain = np.divide(1 + share, paths, out=np.zeros(n), where=paths > 0)
-            for u, v in self._pieces(fronts[depth - 1]):
-                ahead = level[v] == depth
-                share += np.bincount(u[ahead], paths[u[ahead]] * gain[v[ahead]], n)
-        share[at] = 0.0
+        for near, far in zip(fronts[-2:0:-1], fronts[:1:-1], strict=True):
+            gain = np.zeros(n)
+            gain[far] = (1 + share[far]) / paths[far]
+            taken = self._pull(near, gain) if self.steps(near) <= back.steps(far) else back._push(far, gain)
+            share[near] = paths[near] * taken[near]
         score += share
 
 

@@ -69,3 +69,37 @@ def test_shares_by_pieces(monkeypatch):
         graph.add_shares(v, score)
     want = local.betweenness(range(30), pairs, range(30))
     assert all(abs(score[k] - want[v]) < 1e-9 for k, v in enumerate(graph.ids.tolist()))
+
+
+def test_a_last_level_of_few_nodes_takes_its_own_steps(monkeypatch):
+    """From node 0 to 1 to 300 others with all steps among them, of which one alone leads to the last node."""
+    pairs = [(0, 1), *((1, k) for k in range(2, 302)), *((a, b) for a in range(2, 302) for b in range(2, 302) if a != b), (2, 302)]
+    graph, taken, plain = local.Adjacency(*np.array(pairs).T), [], local.Adjacency._pieces
+
+    def counted(self, rows):
+        for piece in plain(self, rows):
+            taken.append(len(piece[-1]))
+            yield piece
+
+    monkeypatch.setattr(local.Adjacency, "_pieces", counted)
+    score = np.zeros(303)
+    graph.add_shares(0, score)
+    assert score.tolist() == [0, 301, 1, *[0] * 300]
+    assert sum(taken) < 2000 < len(pairs)
+
+
+@pytest.mark.parametrize("piece", (3, 1 << 20))
+def test_shares_over_wide_places_and_both_directions(monkeypatch, piece):
+    r = random.Random(4)
+    monkeypatch.setattr(local.Adjacency, "PIECE", piece)
+    for cells in (np.uint16, np.int32):
+        monkeypatch.setattr(local.Adjacency, "cells", staticmethod(lambda n, c=cells: c))
+        pairs = sorted({(r.randrange(25), r.randrange(30)) for _ in range(r.choice((30, 90, 300)))})
+        graph = local.Adjacency(*np.array(pairs).T)
+        score = np.zeros(len(graph.ids))
+        for v in range(30):
+            graph.add_shares(v, score)
+        want = local.betweenness(range(30), pairs, range(30))
+        assert all(abs(score[k] - want[v]) < 1e-9 for k, v in enumerate(graph.ids.tolist()))
+        back = graph.with_back().back
+        assert back.to.dtype == cells and sorted(zip(back.to, np.repeat(np.arange(len(back.ids)), np.diff(back.start)), strict=True)) == sorted(zip(np.repeat(np.arange(len(graph.ids)), np.diff(graph.start)), graph.to, strict=True))
