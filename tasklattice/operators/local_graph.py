@@ -313,10 +313,11 @@ class Adjacency:
         n, back = len(self.ids), self.with_back().back
         paths, new = np.zeros(n), np.zeros(n)
         paths[at] = 1.0
-        fronts, left = [np.array([at])], np.delete(np.arange(n), at)
+        fronts, left, rest = [np.array([at])], np.delete(np.arange(n), at), len(back.to)
         while len(left):
             front = fronts[-1]
-            if self.steps(front) <= back.steps(left):
+            rest -= back.steps(front)
+            if self.steps(front) <= rest:
                 new = self._push(front, paths)
             else:
                 held = np.zeros(n)

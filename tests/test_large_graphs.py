@@ -103,3 +103,19 @@ def test_shares_over_wide_places_and_both_directions(monkeypatch, piece):
         assert all(abs(score[k] - want[v]) < 1e-9 for k, v in enumerate(graph.ids.tolist()))
         back = graph.with_back().back
         assert back.to.dtype == cells and sorted(zip(back.to, np.repeat(np.arange(len(back.ids)), np.diff(back.start)), strict=True)) == sorted(zip(np.repeat(np.arange(len(graph.ids)), np.diff(graph.start)), graph.to, strict=True))
+
+
+def test_tasks_pack_the_steps_that_the_driver_takes(spark, monkeypatch):
+    from tasklattice.operators import graph
+
+    r = random.Random(5)
+    pairs = sorted({(r.randrange(30), r.randrange(30)) for _ in range(100)})
+    g, _ = graphs(spark, 31, pairs, 0)
+    seen, plain = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: seen.append(df.columns) or plain(df))
+    flat = g._flat(g.edges)
+    assert ["cells"] in seen
+    assert flat.ids.tolist() == [3 * k for k in range(31)]
+    assert list(zip(np.repeat(np.arange(31), np.diff(flat.start)).tolist(), flat.to.tolist(), strict=True)) == pairs
+    want = local.betweenness(range(31), pairs, range(31))
+    assert all(abs(b.score - want[b.id // 3]) < 1e-9 for b in g.betweenness_sampled(31).collect())
