@@ -266,6 +266,15 @@ def test_a_followed_snapshot_of_any_size_has_a_board(spark, tmp_path):
     assert sorted((r.mode, r.n, r["last"]) for r in board) == [("priority", 5000, 5000), ("status", 5000, 5000), ("type", 5000, 5000)]
 
 
+def test_a_failing_batch_keeps_the_board_of_any_size(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    snaps = snapshots.Snapshots(spark, str(tmp_path / "out"))
+    assert snaps.publish(large(spark)) == 1
+    assert snaps.publish(large(spark).withColumn("title", F.raise_error(F.lit("broken batch")).cast("string"))) is None
+    assert snaps.version == 1 and not snaps.metrics()["healthy"] and snaps.read("board").count() == 15_000
+
+
 def test_debounce(spark):
     at = lambda s: dt.datetime(2026, 1, 1) + dt.timedelta(milliseconds=s)
     events = spark.createDataFrame([("a", at(x)) for x in (0, 50, 99, 100, 150, 210, 400)] + [("b", at(0))], "k string, t timestamp_ntz")
