@@ -275,6 +275,19 @@ def test_a_failing_batch_keeps_the_board_of_any_size(spark, tmp_path):
     assert snaps.version == 1 and not snaps.metrics()["healthy"] and snaps.read("board").count() == 15_000
 
 
+def test_ticks_leave_a_board_of_any_size(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    large(spark).select(F.to_json(F.struct("*")).alias("value")).write.text(str(tmp_path / "in"))
+    snaps = snapshots.Snapshots(spark, str(tmp_path / "out"))
+    ticks = snaps.follow(snapshots.change_stream(spark, str(tmp_path / "in")), str(tmp_path / "state"), processingTime="1 second")
+    try:
+        ticks.processAllAvailable()
+    finally:
+        ticks.stop()
+    assert snaps.version == 1 and snaps.read("board").count() == 15_000
+
+
 def test_debounce(spark):
     at = lambda s: dt.datetime(2026, 1, 1) + dt.timedelta(milliseconds=s)
     events = spark.createDataFrame([("a", at(x)) for x in (0, 50, 99, 100, 150, 210, 400)] + [("b", at(0))], "k string, t timestamp_ntz")
